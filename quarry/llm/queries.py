@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontamination, exact_dedup, language, secrets, simhash, token_counts, toxicity
+from quarry.llm import bpe, decontamination, exact_dedup, language, secrets, simhash, substring_dedup, token_counts, token_store, toxicity
+from quarry.llm.common import new_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token_store.write_tokens(documents(spark, sf_dir), path := new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.token_digests(spark, path)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact_dedup.exact_dedup(docs, exact_dedup.middle_id(docs)).drop("in_history")
@@ -25,6 +31,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -68,6 +78,6 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_language_id, op4_simhash_near_dedup, op6_toxicity, op7_token_counts, op8_benchmark_decontamination, op9_secret_scans, op10_bpe_encoding_decoding)
+    for f in (op1_token_output, op2_exact_dedup, op3_language_id, op4_simhash_near_dedup, op5_suffix_array_dedup, op6_toxicity, op7_token_counts, op8_benchmark_decontamination, op9_secret_scans, op10_bpe_encoding_decoding)
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op8_benchmark_decontamination": OP8_SQL}
