@@ -78,7 +78,7 @@ def au09_schema_check(spark: SparkSession, d: str) -> DataFrame:
     return audit.schema_check(table(spark, d, "region"), T.StructType().add("r_regionkey", T.LongType()).add("r_comment", T.StringType()))
 
 
-@query("WITH g AS (SELECT event_type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) SELECT event_type, epoch_us(TIMESTAMP '2030-01-01' - max(ts)) / 1e6 AS age_seconds, epoch_us(max(gap)) / 1e6 AS longest_gap_seconds FROM g GROUP BY 1".replace("epoch_us(TIMESTAMP '2030-01-01' - max(ts))", "(epoch_us(TIMESTAMP '2030-01-01') - epoch_us(max(ts)))"))
+@query("WITH g AS (SELECT event_type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) SELECT event_type, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(max(ts))) / 1e6 AS age_seconds, epoch_us(max(gap)) / 1e6 AS longest_gap_seconds FROM g GROUP BY 1")
 def au10_freshness(spark: SparkSession, d: str) -> DataFrame:
     return audit.freshness(table(spark, d, "events"), "ts", ["event_type"], "2030-01-01")
 
@@ -205,7 +205,7 @@ def vz01_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, median(value) AS md, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1), e AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM events JOIN q USING (event_type))
-SELECT event_type, round(q1, 4) AS q1, round(md, 4) AS median, round(q3, 4) AS q3, min(value) FILTER (ok) AS whisker_low, max(value) FILTER (ok) AS whisker_high, count(*) FILTER (NOT ok) AS n_outliers FROM e GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY event_type, e.q1, md, e.q3").replace("round(q1, 4)", "round(e.q1, 4)").replace("round(q3, 4)", "round(e.q3, 4)"))
+SELECT event_type, round(e.q1, 4) AS q1, round(md, 4) AS median, round(e.q3, 4) AS q3, min(value) FILTER (ok) AS whisker_low, max(value) FILTER (ok) AS whisker_high, count(*) FILTER (NOT ok) AS n_outliers FROM e GROUP BY event_type, e.q1, md, e.q3""")
 def vz02_boxplot(spark: SparkSession, d: str) -> DataFrame:
     return rounded(charts.boxplot(table(spark, d, "events"), "value", ["event_type"]))
 
@@ -225,7 +225,7 @@ def vz04_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(made[0].unionByName(made[1]))
 
 
-@query("WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem) SELECT least(floor((l_quantity - x0) * 10 / (x1 - x0)), 9)::INT AS ix, least(floor((l_extendedprice - y0) * 8 / (y1 - y0)), 7)::INT AS iy, count(*) AS n FROM lineitem, e GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2"))
+@query("WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem) SELECT least(floor((l_quantity - x0) * 10 / (x1 - x0)), 9)::INT AS ix, least(floor((l_extendedprice - y0) * 8 / (y1 - y0)), 7)::INT AS iy, count(*) AS n FROM lineitem, e GROUP BY 1, 2")
 def vz05_grid_counts(spark: SparkSession, d: str) -> DataFrame:
     return charts.grid_counts(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 10, 8)
 
@@ -240,7 +240,7 @@ def vz07_top_other(spark: SparkSession, d: str) -> DataFrame:
     return charts.top_other(table(spark, d, "part"), "p_name", 10)
 
 
-@query("SELECT event_type, epoch_us(ts) // 21600000000 AS bucket, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last, min(value) AS low, max(value) AS high FROM events GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2"))
+@query("SELECT event_type, epoch_us(ts) // 21600000000 AS bucket, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2")
 def vz08_m4(spark: SparkSession, d: str) -> DataFrame:
     return charts.m4(table(spark, d, "events"), "ts", "value", "event_id", 21600, ["event_type"])
 
