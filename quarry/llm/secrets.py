@@ -90,10 +90,11 @@ def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base counts and digest, spans (all, joined), and how many spans are owner-specific or widely copied."""
     rows = written(scanned(docs), "secrets")
     each = rows.select("row", "source", F.explode("found").alias("s")).select("row", "source", "s.*")
-    told = each.join(ownership(each), "hash").withColumn("live", F.col("owners") == 1).where("kind < 3 OR live")
+    told = each.join(ownership(each), "hash").withColumn("live", F.col("owners") == 1)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
+    span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("said"))
     per_row = told.groupBy("row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("said")))), lambda x: x["said"]), ",").alias("spans"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), span))), lambda x: x["said"]), ",").alias("spans"),
         F.count_if("live").alias("n_owner_specific"),
         F.count_if(~F.col("live")).alias("n_widely_copied"),
     )
