@@ -76,21 +76,52 @@ def scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.bincount(at, values[:, k], rows) for k in range(values.shape[1])], axis=1)
 
 
-def telling(docs: np.ndarray, windows: list[list[bytes]], toxic: np.ndarray) -> np.ndarray:
-    """bucket -> row of its vector, -1 for n-grams that are about as common in both kinds of text."""
-    bucket, per_word = grams([x for w in windows for x in w])
-    doc = np.repeat(np.repeat(docs, [len(w) for w in windows]), per_word)
-    pairs = np.unique(doc.astype(np.int64) << BITS | bucket)
-    of, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    kind = np.zeros(int(docs.max()) + 1, np.int64)
-    kind[docs] = toxic
-    n = np.bincount(kind[np.unique(docs)], minlength=2).astype(float)
-    bad, good = (np.bincount(bucket[kind[of] == k], minlength=1 << BITS) for k in (1, 0))
-    p, q = (bad + 0.5) / (n[1] + 1), (good + 0.5) / (n[0] + 1)
-    both = (bad + good) / n.sum()
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[1] + 1 / n[0]))
-    chosen = (np.maximum(p / q, q / p) >= FACTOR) & (np.abs(p - q) >= ERRORS * error) & (bad + good >= 3)
-    return np.where(chosen, np.cumsum(chosen) - 1, -1)
+class Windows:
+    """The sample's windows: distinct words with their n-grams, and the words, kind and text of each window.
+
+    Words are kept as numbers and hashed in parts, so that the sample takes little memory.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        known: dict[bytes, int] = {}
+        split = [row[2].split() for row in rows]
+        self.size = np.array([len(x) for x in split], np.int64)
+        self.word = np.fromiter((known.setdefault(w, len(known)) for x in split for w in x), np.int32, int(self.size.sum()))
+        self.toxic = np.array([row[1] for row in rows], np.int64)
+        self.doc = np.unique(np.array([row[0] for row in rows], np.int64), return_inverse=True)[1]
+        words, buckets, counts = list(known), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 20_000):
+            bucket, per_word = grams(words[at : at + 20_000])
+            buckets.append(bucket.astype(np.int32))
+            counts.append(per_word)
+        self.bucket, self.per_word = np.concatenate(buckets), np.concatenate(counts)
+
+    def telling(self, docs: int = 200) -> np.ndarray:
+        """bucket -> row of its vector, -1 for n-grams that are about as common in both kinds of text."""
+        kind = np.zeros(int(self.doc.max()) + 1, np.int64)
+        kind[self.doc] = self.toxic
+        n = np.bincount(kind, minlength=2).astype(float)
+        seen = np.zeros((2, 1 << BITS))
+        doc_of = np.repeat(self.doc, self.size)
+        order = np.argsort(doc_of, kind="stable")
+        edges = np.searchsorted(doc_of[order], np.arange(0, len(kind) + docs, docs))
+        first = np.cumsum(self.per_word) - self.per_word
+        for a, b in zip(edges, edges[1:], strict=False):
+            at = order[a:b]
+            pairs = np.unique(doc_of[at] << 32 | self.word[at])
+            of, word = pairs >> 32, pairs & (2**32 - 1)
+            size = self.per_word[word]
+            ends = np.cumsum(size)
+            inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(first[word], size)
+            pairs = np.unique(np.repeat(of, size) << BITS | self.bucket[inside])
+            for k in (0, 1):
+                seen[k] += np.bincount(pairs[kind[pairs >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
+        good, bad = seen
+        p, q = (bad + 0.5) / (n[1] + 1), (good + 0.5) / (n[0] + 1)
+        both = (bad + good) / n.sum()
+        error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[1] + 1 / n[0]))
+        chosen = (np.maximum(p / q, q / p) >= FACTOR) & (np.abs(p - q) >= ERRORS * error) & (bad + good >= 3)
+        return np.where(chosen, np.cumsum(chosen) - 1, -1)
 
 
 class Model:
@@ -101,29 +132,31 @@ class Model:
         self.slope, self.shift = 1.0, float(bias[1] - bias[0])
 
     @classmethod
-    def train(cls, index: np.ndarray, windows: list[list[bytes]], toxic: np.ndarray, epochs: int = 150, seed: int = 7) -> Model:
+    def train(cls, index: np.ndarray, sample: Windows, keep: np.ndarray, epochs: int = 150, seed: int = 7) -> Model:
+        """The model of the windows that are kept."""
         rng = np.random.default_rng(seed)
-        known: dict[bytes, int] = {}
-        word = np.array([known.setdefault(w, len(known)) for x in windows for w in x], np.int64)
-        window = np.repeat(np.arange(len(windows)), size := np.array([len(x) for x in windows]))
-        bucket, per_word = grams(list(known))
-        gram, owner = index[bucket], np.repeat(np.arange(len(known)), per_word)
-        gram, owner = gram[gram >= 0], owner[gram >= 0]
-        has = np.isin(np.arange(len(known)), owner)
-        word, window = word[has[word]], window[has[word]]
-        per_word = np.maximum(per_word, 1)[:, None]
+        known, toxic, size = len(sample.per_word), sample.toxic[keep], sample.size[keep]
+        gram = index[sample.bucket]
+        owner = np.repeat(np.arange(known, dtype=np.int32), sample.per_word)[gram >= 0]
+        gram = gram[gram >= 0]
+        has = np.zeros(known, bool)
+        has[owner] = True
+        window = np.repeat(np.cumsum(keep) - 1, sample.size)
+        used = has[sample.word] & np.repeat(keep, sample.size)
+        word, window = sample.word[used], window[used]
+        per_word = np.maximum(sample.per_word, 1)[:, None]
         e = rng.normal(0, 0.1, (int(index.max()) + 1, DIMENSIONS))
         w, b = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
         share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
         target = np.eye(2)[toxic]
         moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, b)]
         for t in range(1, epochs + 1):
-            vectors = scattered(owner, e[gram], len(known)) / per_word
-            x = scattered(window, vectors[word], len(windows)) / size[:, None]
+            vectors = scattered(owner, e[gram], known) / per_word
+            x = scattered(window, vectors[word], len(toxic)) / size[:, None]
             z = x @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             d = (p / p.sum(axis=1, keepdims=True) - target) * share[:, None]
-            dv = scattered(word, ((d @ w.T) / size[:, None])[window], len(known)) / per_word
+            dv = scattered(word, ((d @ w.T) / size[:, None])[window], known) / per_word
             de = scattered(gram, dv[owner], len(e)) + 1e-6 * e
             for value, grad, (m, v) in zip((e, w, b), (de, x.T @ d, d.sum(axis=0)), moments, strict=True):
                 m += 0.1 * (grad - m)
@@ -137,6 +170,12 @@ class Model:
         margin = np.append(self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]), 0.0)[self.index[bucket]]
         return np.bincount(np.repeat(np.arange(len(words)), per_word), margin, len(words)) / np.maximum(per_word, 1)
 
+    def window_margins(self, sample: Windows) -> np.ndarray:
+        """The mean score of each window's words."""
+        margin = np.append(self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]), 0.0)[self.index[sample.bucket]]
+        words = np.bincount(np.repeat(np.arange(len(sample.per_word)), sample.per_word), margin, len(sample.per_word)) / np.maximum(sample.per_word, 1)
+        return np.bincount(np.repeat(np.arange(len(sample.size)), sample.size), words[sample.word], len(sample.size)) / sample.size
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
@@ -158,7 +197,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE[0]).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE[1])).select("doc_id", "toxic")
 
 
-def sampled_windows(chosen: DataFrame) -> list[tuple[int, int, list[bytes]]]:
+def sampled_windows(chosen: DataFrame) -> list[tuple[int, int, bytes]]:
     """(doc_id, toxic, words) of windows of the sample's texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,18 +218,16 @@ def sampled_windows(chosen: DataFrame) -> list[tuple[int, int, list[bytes]]]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the sample; None without both kinds of label or without a telling n-gram."""
     chosen = written(texts(docs).join(F.broadcast(sample(docs, labels)), "doc_id"), "sample")
-    rows = [(doc, toxic, words.split()) for doc, toxic, words in sampled_windows(chosen)]
-    toxic = np.array([t for _, t, _ in rows], np.int64)
-    if not len(toxic) or toxic.min() == toxic.max():
+    windows = Windows(sampled_windows(chosen))
+    if not len(windows.toxic) or windows.toxic.min() == windows.toxic.max():
         return None
-    windows = [w for _, _, w in rows]
-    index = telling(np.unique([d for d, _, _ in rows], return_inverse=True)[1], windows, toxic)
+    index = windows.telling()
     if index.max() < 0:
         return None
-    first = Model.train(index, windows, toxic)
-    score = first.probability(np.array([first.word_scores(w).mean() for w in windows]))
-    keep = (toxic == 0) | (score >= 0.5)
-    model = Model.train(index, [w for w, k in zip(windows, keep.tolist(), strict=True) if k], toxic[keep]) if (toxic[keep] == 1).any() else first
+    model = Model.train(index, windows, np.ones(len(windows.toxic), bool))
+    keep = (windows.toxic == 0) | (model.probability(model.window_margins(windows)) >= 0.5)
+    if (windows.toxic[keep] == 1).any():
+        model = Model.train(index, windows, keep)
     whole = margins(chosen, model, "toxic").toArrow()
     model.calibrate(whole["margin"].to_numpy(), whole["toxic"].to_numpy())
     return model
