@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,7 @@ class Encoder:
     def texts(self, group: list[str]) -> Iterator[tuple[str, str, int]]:
         """The same of each text. Tokens are decoded with a space between, as the file names no decoder."""
         cut = [word_chunks(t) for t in group]
-        self.chunks.cover(c for chunks in cut for c in chunks)
+        self.chunks.cover(chain.from_iterable(cut))
         for chunks in cut:
             found = [x for x in map(self.chunks.__getitem__, chunks) if x[2]]
             yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])

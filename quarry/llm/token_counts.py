@@ -11,6 +11,7 @@ Null and empty texts have 0 tokens; repeated rows are counted each; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ class Counter:
     def counts(self, group: list[str]) -> list[int]:
         cut = [spaced_chunks(t) if t else ("", []) for t in group]
         self.first.cover(f for f, _ in cut)
-        self.rest.cover(c for _, rest in cut for c in rest)
+        self.rest.cover(chain.from_iterable(rest for _, rest in cut))
         of = self.rest.__getitem__
         return [self.first[f] + sum(map(of, rest)) for f, rest in cut]
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import texts
-from quarry.llm.vocabulary import Kept, grouped_texts, word_chunks
+from quarry.llm.vocabulary import Kept, Pieces, grouped_texts, is_latin, vocabulary, word_chunks
 
 #: Ids in a block, about; rounds of replacement; pairs replaced in a round; how often a pair must be replaced.
 BLOCK, ROUNDS, PAIRS, LEAST = 2_000_000, 8, 4096, 8
@@ -116,20 +117,52 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
     return sequence, np.flatnonzero(first), grammar
 
 
-_kept: dict[str, tuple[Kept, int]] = {}
+class Library:
+    """Ids by the tokenizers library. Each new piece of a text goes to it once, many in one text with spaces between:
+    no merge runs over white space, and a piece's last token is the one with the word-end mark."""
 
-
-def library(path: str) -> tuple[Kept, int]:
-    """The ids that the tokenizers library gives for each chunk between white space, as bytes; and how many ids there are."""
-    if path not in _kept:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = self.tokenizer = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _kept[path] = Kept(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]), t.get_vocab_size()
-    return _kept[path]
+        self.size = t.get_vocab_size()
+        own = vocabulary(path)
+        self.ends = np.array([(t.id_to_token(i) or "").endswith(own.end) for i in range(self.size)])
+        self.pieces = Pieces(own, self.encode)
+        self.chunks = Kept(self.join, 700_000)
+
+    def encode(self, pieces: list) -> list[bytes]:
+        """The ids of each new piece, or of each special id, as bytes."""
+        if pieces and isinstance(pieces[0], int):
+            return [np.array([i], "<u4").tobytes() for i in pieces]
+        if not pieces:
+            return []
+        lines = [" ".join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)]
+        ids = np.array([x for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
+        raw, at = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def join(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Chunks that normalising twice would change go to the library as they are."""
+        again = self.pieces.vocabulary.normalizer.normalize_str
+        odd = {c for c in chunks if not c.isascii() and not is_latin(c) and again(s := again(c)) != s}
+        of = self.pieces.__getitem__
+        cut = self.pieces.cut([c for c in chunks if c not in odd])
+        found = iter([of(p[0]) if len(p) == 1 else b"".join(map(of, p)) for p in cut])
+        return [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() if c in odd else next(found) for c in chunks]
+
+
+_libraries: dict[str, Library] = {}
+
+
+def library(path: str) -> tuple[Kept, int]:
+    """What the tokenizers library gives for each chunk between white space, as bytes; and how many ids there are."""
+    if path not in _libraries:
+        _libraries[path] = Library(path)
+    return _libraries[path].chunks, _libraries[path].size
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -154,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             names, at = batch.column("doc_id").to_pylist(), 0
             for group in grouped_texts(batch.column("text").to_pylist()):
                 cut = [word_chunks(t) for t in group]
-                kept.cover(c for chunks in cut for c in chunks)
+                kept.cover(chain.from_iterable(cut))
                 for name, chunks in zip(names[at : at + len(group)], cut, strict=True):
                     own = b"".join(map(kept.__getitem__, chunks)) + end
                     ids.append(own)

@@ -67,6 +67,15 @@ class Merges:
         return found
 
 
+def is_latin(chunk: str) -> bool:
+    """Only characters up to U+00FF: they are composed already, and lower() does for them what the normalizer does."""
+    try:
+        chunk.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Vocabulary:
     """A tokenizer file of the byte-pair kind, with or without word ends and lower-casing."""
 
@@ -117,7 +126,7 @@ class Vocabulary:
     def plain(self, chunk: str) -> list[str]:
         """The pieces of a chunk without special strings. Most are one word, with or without a comma or full stop."""
         if self.lowers:
-            chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+            chunk = chunk.lower() if chunk.isascii() or is_latin(chunk) else self.normalizer.normalize_str(chunk)
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isalpha():
             return [chunk]
@@ -127,7 +136,7 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """What each piece gives; filled for many new pieces at a time, emptied when full."""
+    """What each piece gives; filled for many new pieces at a time. When it is full, what the batch has not used goes."""
 
     def __init__(self, vocabulary: Vocabulary, make: Callable[[list[str]], Iterable], entries: int = 250_000):
         ids = sorted(vocabulary.specials.values())
@@ -140,9 +149,9 @@ class Pieces(dict):
         used = {p for pieces in cut for p in pieces}
         new = [p for p in used if p not in self]
         if len(self) + len(new) > self.entries:
+            held = {p: self[p] for p in used if p in self}
             self.clear()
-            self.update(self.fixed)
-            new = [p for p in used if p not in self]
+            self.update(self.fixed | held)
         self.update(zip(new, self.make(new), strict=True))
         return cut
 
@@ -178,7 +187,7 @@ def spaced_chunks(text: str) -> tuple[str, list[str]]:
 
 
 class Kept(dict):
-    """What each chunk gives; filled for a batch of chunks at a time, emptied when full."""
+    """What each chunk gives; filled for a batch of chunks at a time. When it is full, what the batch has not used goes."""
 
     def __init__(self, fill: Callable[[list[str]], Iterator], entries: int = ENTRIES):
         super().__init__()
@@ -189,8 +198,9 @@ class Kept(dict):
         new = set(chunks)
         missing = [c for c in new if c not in self]
         if len(self) + len(missing) > self.entries:
+            used = {c: self[c] for c in new if c in self}
             self.clear()
-            missing = list(new)
+            self.update(used)
         for i in range(0, len(missing), 50_000):
             part = missing[i : i + 50_000]
             self.update(zip(part, self.make(part), strict=True))
