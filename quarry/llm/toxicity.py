@@ -1,6 +1,6 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams (3 to 5 bytes, with marks at both ends, hashed), so an unseen misspelling
+A word is the bag of its character n-grams (3 to 5 bytes, with marks at both ends, hashed) and of itself, so an unseen misspelling
 shares vectors with the words that it resembles. Embeddings and softmax are trained together in numpy. Words are
 averaged over short overlapping windows, and a text scores as its most toxic window, so that one passage in a very
 long text isn't averaged away. Training takes windows of a bounded sample of labelled rows. N-grams that are as common
@@ -14,7 +14,8 @@ alike; without labels of both kinds all texts score 0; only doc_id and text are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,18 @@ from quarry.llm.common import texts, written
 from quarry.llm.vocabulary import Kept, grouped_texts
 
 BITS, DIMENSIONS = 18, 8
-#: An n-gram has a vector if its share of texts differs by this factor and so many standard errors between the kinds.
-FACTOR, ERRORS = 8.0, 6.0
+#: An n-gram has a vector if its share of texts differs by this factor between the kinds, with a likelihood ratio
+#: statistic that chance hardly reaches in any of 2^18 buckets.
+FACTOR, EVIDENCE = 2.5, 27.0
 WINDOW, STRIDE = 16, 8
 #: The bound of the sample: toxic and other labelled texts, and windows of each text, spread over the whole of it.
 SAMPLE, WINDOWS = (2000, 6000), 12
 
 
+#: Odd numbers by which bytes are weighed, by place, in the hash of a whole word.
+PLACES = np.random.default_rng(11).integers(0, 2**31, 4096).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
 def held_out(docs: DataFrame) -> F.Column:
     """True for rows whose crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -59,8 +65,11 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             ok = left[:m] >= n
             values.append(((h[ok] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64))
             owners.append(word[:m][ok])
-    if not values:
-        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole = np.add.reduceat((b + np.uint32(1)) * PLACES[(lengths.repeat(lengths) - left) % len(PLACES)], np.cumsum(lengths) - lengths).astype(np.uint32)
+    values.append(((whole * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int64))
+    owners.append(np.arange(len(words)))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return np.concatenate(values)[order], np.bincount(owner, minlength=len(words))
@@ -96,6 +105,22 @@ class Windows:
             counts.append(per_word)
         self.bucket, self.per_word = np.concatenate(buckets), np.concatenate(counts)
 
+    def contexts(self, part: int = 50_000) -> np.ndarray:
+        """In how many different words after different words of toxic texts each n-gram occurs: copies of a text add none."""
+        before = np.concatenate(([-1], self.word[:-1])).astype(np.int64)
+        before[np.cumsum(self.size) - self.size] = -1
+        bad = np.repeat(self.toxic == 1, self.size)
+        word = np.unique((before[bad] + 1) << 32 | self.word[bad]) & (2**32 - 1)
+        first, out = np.cumsum(self.per_word) - self.per_word, np.zeros(1 << BITS)
+        for at in range(0, len(word), part):
+            own = word[at : at + part]
+            size = self.per_word[own]
+            ends = np.cumsum(size)
+            inside = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(first[own], size)
+            pairs = np.unique(np.repeat(np.arange(len(own)), size) << BITS | self.bucket[inside])
+            out += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+        return out
+
     def telling(self, docs: int = 200) -> np.ndarray:
         """bucket -> row of its vector, -1 for n-grams that are about as common in both kinds of text."""
         kind = np.zeros(int(self.doc.max()) + 1, np.int64)
@@ -116,11 +141,10 @@ class Windows:
             pairs = np.unique(np.repeat(of, size) << BITS | self.bucket[inside])
             for k in (0, 1):
                 seen[k] += np.bincount(pairs[kind[pairs >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
-        good, bad = seen
+        good, bad = seen[0], np.minimum(seen[1], self.contexts())
         p, q = (bad + 0.5) / (n[1] + 1), (good + 0.5) / (n[0] + 1)
-        both = (bad + good) / n.sum()
-        error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[1] + 1 / n[0]))
-        chosen = (np.maximum(p / q, q / p) >= FACTOR) & (np.abs(p - q) >= ERRORS * error) & (bad + good >= 3)
+        term = lambda k, m: k * np.log(np.maximum(k, 1) / np.maximum((bad + good) * m / n.sum(), 1e-9))
+        chosen = (np.maximum(p / q, q / p) >= FACTOR) & (2 * (term(bad, n[1]) + term(good, n[0])) >= EVIDENCE)
         return np.where(chosen, np.cumsum(chosen) - 1, -1)
 
 
@@ -233,21 +257,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
+def scorer(model: Model | None) -> Callable[[list[str]], list[float | None]]:
+    """A function that gives the margin of each text's most toxic window; None for texts without words."""
+    kept = Kept(lambda words: model.word_scores(words).tolist())
+
+    def score(batch: list[str]) -> list[float | None]:
+        found: list[float | None] = []
+        for group in grouped_texts(batch):
+            cut = [words_of(t) if model else [] for t in group]
+            if model:
+                kept.cover(chain.from_iterable(cut))
+            found += [most_toxic(np.fromiter(map(kept.__getitem__, words), np.float64, len(words))) if words else None for words in cut]
+        return found
+
+    return score
+
+
 def margins(rows: DataFrame, model: Model | None, *more: str) -> DataFrame:
     """doc_id, the margin of each text's most toxic window (null: none), and other named columns."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        kept = Kept(lambda words: own.word_scores(words).tolist())
+        score = scorer(sent.value)
         for batch in batches:
-            found: list[float | None] = []
-            for group in grouped_texts(batch.column("text").to_pylist()):
-                cut = [words_of(t) if own else [] for t in group]
-                if own:
-                    kept.cover(w for words in cut for w in words)
-                found += [most_toxic(np.fromiter(map(kept.__getitem__, words), np.float64, len(words))) if words else None for words in cut]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "margin": pa.array(found, pa.float64())} | {c: batch.column(c) for c in more})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "margin": pa.array(score(batch.column("text").to_pylist()), pa.float64())} | {c: batch.column(c) for c in more})
 
     kinds = dict(rows.dtypes)
     return rows.select("doc_id", "text", *more).mapInArrow(run, ", ".join(["doc_id long", "margin double", *(f"{c} {kinds[c]}" for c in more)]))
@@ -271,8 +304,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are predicted toxic, in all their columns; rows without doc_id are judged too."""
-    model_rows = toxicity(docs, labels)
-    clean = model_rows.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("own_id")).agg(F.max("predicted").alias("predicted")).where("predicted = 0")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("own_id"))
-    return keyed.join(clean, "own_id", "left_semi").select("row.*")
+    """docs without the rows that are predicted toxic, in all their columns. Rows are judged where they are read, so none is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        score = scorer(model)
+        for batch in batches:
+            found = score([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([m is None or float(model.probability(np.float64(m))) < 0.5 for m in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
