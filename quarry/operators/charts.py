@@ -24,7 +24,7 @@ def boxplot(df: DataFrame, col: str, by: list[str], k: float = 1.5) -> DataFrame
     q = df.groupBy(*by).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     inside = F.col(col).between(F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    each = df.where(F.col(col).isNotNull()).join(F.broadcast(q), by)
+    each = df.where(F.col(col).isNotNull()).join(q, by)
     return each.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(col))).alias("whisker_low"), F.max(F.when(inside, F.col(col))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
 
 

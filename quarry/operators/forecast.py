@@ -150,7 +150,7 @@ def decompose(df: DataFrame, m: int, by: list[str], ts: str = "period", y: str =
 def acf(df: DataFrame, most: int, by: list[str], ts: str = "period", y: str = "y") -> DataFrame:
     """by, lag 1 to `most`, acf with the mean and variance of the whole series."""
     means = df.groupBy(*by).agg(F.avg(y).alias("__m"))
-    centred = (df.join(F.broadcast(means), by) if by else df.crossJoin(F.broadcast(means))).withColumn("__c", F.col(y) - F.col("__m"))
+    centred = (df.join(means, by) if by else df.crossJoin(F.broadcast(means))).withColumn("__c", F.col(y) - F.col("__m"))
     w = in_order(by, ts)
     products = centred.select(*by, "__c", *[(F.col("__c") * F.lag("__c", k).over(w)).alias(f"__{k}") for k in range(1, most + 1)])
     sums = products.groupBy(*by).agg(F.sum(F.col("__c") * F.col("__c")).alias("__v"), *[F.sum(f"__{k}").alias(f"__{k}") for k in range(1, most + 1)])

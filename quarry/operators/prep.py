@@ -49,7 +49,7 @@ def target_encode(df: DataFrame, col: str, y: str, fold: str, smoothing: float =
     cells = df.groupBy(col, fold).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(y).alias("n"))
     level, own, every = Window.partitionBy(col), Window.partitionBy(fold), Window.partitionBy()
     rest = cells.select(col, fold, (F.sum("s").over(level) - F.col("s")).alias("__s"), (F.sum("n").over(level) - F.col("n")).alias("__n"), ratio(F.sum("s").over(every) - F.sum("s").over(own), F.sum("n").over(every) - F.sum("n").over(own)).alias("__m"))
-    joined = df.join(F.broadcast(rest), df[col].eqNullSafe(rest[col]) & (df[fold] == rest[fold])).drop(rest[col]).drop(rest[fold])
+    joined = df.join(rest, df[col].eqNullSafe(rest[col]) & (df[fold] == rest[fold])).drop(rest[col]).drop(rest[fold])
     return joined.withColumn("encoded", ratio(F.col("__s") + smoothing * F.col("__m"), F.col("__n") + smoothing)).drop("__s", "__n", "__m")
 
 
@@ -63,7 +63,7 @@ def stratified_split(df: DataFrame, key: str, y: str, share: float, slices: int
     sizes = at.groupBy(y, "__s").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(y).orderBy("__s")
     sizes = sizes.select(y, "__s", (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(y)).alias("__all"))
-    placed = at.join(F.broadcast(sizes), at[y].eqNullSafe(sizes[y]) & (at["__s"] == sizes["__s"])).drop(sizes[y]).drop(sizes["__s"])
+    placed = at.join(sizes, at[y].eqNullSafe(sizes[y]) & (at["__s"] == sizes["__s"])).drop(sizes[y]).drop(sizes["__s"])
     place = F.row_number().over(Window.partitionBy(y, "__s").orderBy("__h", key)) + F.col("__before")
     return placed.withColumn("is_test", place <= F.ceil(F.col("__all") * share)).drop("__h", "__s", "__before", "__all")
 
