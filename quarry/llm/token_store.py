@@ -28,6 +28,8 @@ from quarry.llm.vocabulary import Kept, Pieces, grouped_texts, is_latin, vocabul
 #: Ids in a block, about; rounds of replacement; pairs replaced in a round; how often a pair must be replaced.
 BLOCK, ROUNDS, PAIRS, LEAST = 2_000_000, 8, 4096, 8
 HASH_BITS = 20
+#: The starts of so many blocks (three numbers each) are sent to all tasks; those of more are joined by shuffling.
+SENT_ROWS = 200_000
 BLOCKS = "shard int, block int, first_id long, last_id long, total long, base long, doc_ids array<long>, counts array<long>, places array<long>, left binary, right binary, lengths binary, sequence binary"
 
 
@@ -233,7 +235,8 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["start"] + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
 
     needed = stored.select("shard", "block", "base", "doc_ids", "counts", "left", "right", "lengths", "sequence")
-    return needed.join(block_starts(stored), ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = block_starts(stored)
+    return needed.join(F.broadcast(starts) if stored.count() <= SENT_ROWS else starts, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int], begin: int = 0, end: int | None = None) -> DataFrame:
