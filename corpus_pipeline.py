@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontamination, exact_dedup, simhash, toxicity
+from quarry.llm import bpe, decontamination, exact_dedup, near_copies, simhash, toxicity
 from quarry.llm.common import new_path
 
 #: Of the stages, the model of toxicity and XXH64 can't be expressed in SQL.
@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates."""
+    """One row of each group of near-duplicates by op4's rule: fingerprints of 3-word shingles that differ in at most 2 bits."""
     return simhash.one_of_each(docs)
 
 
@@ -34,6 +34,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text."""
     return bpe.encoded_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -44,6 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("exact dedup", drop_copies),
     ("simhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
+    ("shingle near-dedup", drop_similar),
     ("bpe encoding and decoding", encode),
 ]
 
