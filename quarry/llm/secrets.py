@@ -3,11 +3,13 @@
 Three kinds of base match are always reported: assignments of passwords and keys, access key ids, and runs of hex
 digits. Their values, and other long mixed strings, are candidates: their hashes are counted over the distinct
 documents (repositories) and sources (owners) of the whole corpus. A value that several owners have is a widely copied
-example; one that a single owner has looks live. The scan adds the spans of live-looking mixed strings (kind `owned`)
+example, and so is one that a single owner has in MANY documents or more, such as a placeholder of its template; one
+that a single owner has in fewer documents looks live. The scan adds the spans of live-looking mixed strings (kind `owned`)
 that no base span covers; widely copied ones are counted, not added.
 
 Defined results: null and empty texts have no spans; spans count code points; equal values of one document count once
-for its owner; a null source is an owner of its own; repeated rows are reported each; only doc_id, text and source are
+for its owner; a null source is an owner of its own; repeated rows are reported each and count as one document, rows
+without doc_id as one each; only doc_id, text and source are
 read.
 """
 
@@ -34,6 +36,8 @@ KINDS = ("assign", "access", "hex", "owned")
 
 assign, access, hexes, mixed = re.compile(ASSIGN, re.ASCII | re.IGNORECASE), re.compile(ACCESS), re.compile(HEX), re.compile(MIXED)
 LEAST_ENTROPY = 3.5
+#: A value in so many documents of its only owner counts as widely copied.
+MANY = 10
 
 
 def entropy(value: str) -> float:
@@ -80,22 +84,32 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, repositories (documents), owners (sources) of each candidate value. candidates: row, source, hash."""
-    by_row = candidates.groupBy("hash", "source", "row").agg(F.lit(1).alias("one"))
-    by_owner = by_row.groupBy("hash", "source").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    """hash, repositories (documents), owners (sources) of each candidate value. candidates: row, doc_id, source, hash."""
+    alone = F.when(F.col("doc_id").isNull(), F.col("row")).alias("alone")
+    by_document = candidates.groupBy("hash", "doc_id", alone).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repositories"))
+    by_owner = candidates.groupBy("hash", "source").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("owners"))
+    return by_document.join(by_owner, "hash")
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts and digest, spans (all, joined), and how many spans are owner-specific or widely copied."""
+    """doc_id, base counts and digest, spans (all, joined), and how many spans are owner-specific or widely copied.
+
+    Then repositories and owners: those of each candidate by start, joined, also of mixed strings that aren't added.
+    """
     rows = written(scanned(docs), "secrets")
-    each = rows.select("row", "source", F.explode("found").alias("s")).select("row", "source", "s.*")
-    told = each.join(ownership(each), "hash").withColumn("live", F.col("owners") == 1)
+    each = rows.select("row", "doc_id", "source", F.explode("found").alias("s")).select("row", "doc_id", "source", "s.*")
+    told = each.join(ownership(each), "hash").withColumn("live", (F.col("owners") == 1) & (F.col("repositories") < MANY))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("said"))
+    counts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "end", c))), lambda x: x[c]), ",").alias(c)
     per_row = told.groupBy("row").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), span))), lambda x: x["said"]), ",").alias("spans"),
         F.count_if("live").alias("n_owner_specific"),
         F.count_if(~F.col("live")).alias("n_widely_copied"),
+        counts("repositories"),
+        counts("owners"),
     )
-    return rows.drop("found").join(per_row, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_owner_specific", F.lit(0)).alias("n_owner_specific"), F.coalesce("n_widely_copied", F.lit(0)).alias("n_widely_copied"))
+    return rows.drop("found").join(per_row, "row", "left").select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_owner_specific", F.lit(0)).alias("n_owner_specific"), F.coalesce("n_widely_copied", F.lit(0)).alias("n_widely_copied"),
+        F.coalesce("repositories", F.lit("")).alias("repositories"), F.coalesce("owners", F.lit("")).alias("owners"),
+    )
