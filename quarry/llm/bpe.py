@@ -4,22 +4,24 @@ The leaves of the tree are (rank, position) of each adjacent pair, so the root i
 merges. A merge changes three leaves and their ancestors, until the root says that no pair merges. Short pieces are
 worked through together, one tree in each row of a numpy array; long ones have a tree of their own.
 
-Null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; other columns are not
-read.
+The decoded text is made from the ids that came out, by the file's vocabulary.
+
+Defined results: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole;
+repeated rows are encoded each; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import texts
-from quarry.llm.vocabulary import NONE, Kept, Merges, Pieces, Vocabulary, grouped_texts, vocabulary, word_chunks
+from quarry.llm.vocabulary import NONE, Ids, Merges, Vocabulary, byte_symbols, slices, vocabulary
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of more symbols have a tree of their own.
@@ -149,71 +151,78 @@ def encode_pieces(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> t
     return out[out >= 0], left
 
 
-class Encoder:
-    """Ids of texts by one vocabulary file that drops white space."""
-
-    def __init__(self, path: str):
-        self.vocabulary: Vocabulary = vocabulary(path)
-        tokens = self.vocabulary.tokens
-        self.number = list(map(str, range(max(tokens) + 1)))
-        self.pieces = Pieces(self.vocabulary, self.encode)
-        self.chunks = Kept(self.join)
-
-    def encode(self, pieces: list) -> Iterator[tuple[str, str, int]]:
-        """(ids as text, decoded text, how many) of each new piece, or of each special id."""
-        if pieces and isinstance(pieces[0], int):
-            flat, ends = pieces, [*range(1, len(pieces) + 1)]
-        else:
-            flat, left = encode_pieces(*self.vocabulary.start(pieces), self.vocabulary.merges)
-            flat, ends = flat.tolist(), np.cumsum(left).tolist()
-        ids, tokens, at = self.number.__getitem__, self.vocabulary.tokens.__getitem__, 0
-        for end in ends:
-            own = flat[at:end]
-            at = end
-            yield " ".join(map(ids, own)), " ".join(map(tokens, own)), len(own)
-
-    def join(self, chunks: list[str]) -> Iterator[tuple[str, str, int]]:
-        """The same of each chunk of a text."""
-        of = self.pieces.__getitem__
-        for p in self.pieces.cut(chunks):
-            if len(p) == 1:
-                yield of(p[0])
-            elif len(p) == 2:
-                a, b = of(p[0]), of(p[1])
-                yield f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
-            else:
-                found = list(map(of, p))
-                yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum(x[2] for x in found)
-
-    def texts(self, group: list[str]) -> Iterator[tuple[str, str, int]]:
-        """The same of each text. Tokens are decoded with a space between, as the file names no decoder."""
-        cut = [word_chunks(t) for t in group]
-        self.chunks.cover(chain.from_iterable(cut))
-        for chunks in cut:
-            found = [x for x in map(self.chunks.__getitem__, chunks) if x[2]]
-            yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoded(pieces: list[str], own: Vocabulary) -> list[bytes]:
+    """The ids of each piece, as bytes."""
+    flat, left = encode_pieces(*own.start(pieces), own.merges)
+    raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(left)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if pieces else []
+
+
+_encoders: dict[str, Ids] = {}
+
+
+def encoder(path: str) -> Ids:
+    """Ids by segment trees, with dictionaries that live as long as the worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        own = vocabulary(path)
+        _encoders[path] = Ids(own, lambda pieces: encoded(pieces, own))
     return _encoders[path]
 
 
+class Decoder:
+    """Texts of ids, and ids as decimal numbers, for whole columns of lists of ids."""
+
+    def __init__(self, own: Vocabulary):
+        if own.decoder not in (None, "ByteLevel"):
+            raise ValueError(f"decoder of another kind: {own.decoder}")
+        size = max(own.tokens) + 1
+        self.bytes = {c: b for b, c in enumerate(byte_symbols())} if own.decoder else None
+        self.tokens = pa.array([own.tokens.get(i, "") for i in range(size)])
+        self.numbers = pa.array([str(i) for i in range(size)])
+
+    @staticmethod
+    def joined(of: pa.Array, ids: np.ndarray, counts: np.ndarray, between: str) -> pa.Array:
+        edges = pa.array(np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32))))
+        return pc.binary_join(pa.ListArray.from_arrays(edges, of.take(pa.array(ids))), between)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text of each list of ids. A file without a decoder has a space between tokens."""
+        if self.bytes is None:
+            return self.joined(self.tokens, ids, counts, " ")
+        words = self.joined(self.tokens, ids, counts, "").to_pylist()
+        return pa.array([bytes(b for c in w for b in ([self.bytes[c]] if c in self.bytes else c.encode())).decode("utf-8", "replace") for w in words], pa.string())
+
+    def decimal(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The ids of each list in decimal digits, with a space between."""
+        return self.joined(self.numbers, ids, counts, " ")
+
+
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(vocabulary(path))
+    return _decoders[path]
+
+
+def decode(ids: list[list[int]], path: str) -> list[str]:
+    """The text of each list of ids."""
+    return decoder(path).decode(np.array([i for x in ids for i in x], np.uint32), np.array([*map(len, ids)], np.int64)).to_pylist()
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded of each row of docs: the operator's own output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, back = encoder(path), decoder(path)
         for batch in batches:
             at = 0
-            for group in grouped_texts(batch.column("text").to_pylist()):
-                found = list(own.texts(group))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(group)), "ids": pa.array([[*map(int, x[0].split())] for x in found], pa.list_(pa.int32())), "decoded": pa.array([x[1] for x in found], pa.string())})
-                at += len(group)
+            for part in slices(batch.column("text")):
+                ids, counts = own.of(part)
+                edges = pa.array(np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32))))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(part)), "ids": pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int32))), "decoded": back.decode(ids, counts)})
+                at += len(part)
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -222,11 +231,13 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids with a space between), decoded_sha256 of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        own, back = encoder(path), decoder(path)
+        sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
         for batch in batches:
-            found = [(sha(ids), sha(decoded), n) for group in grouped_texts(batch.column("text").to_pylist()) for ids, decoded, n in own.texts(group)]
-            ids, decoded, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+            at = 0
+            for part in slices(batch.column("text")):
+                ids, counts = own.of(part)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(part)), "n_tokens": pa.array(counts), "ids_sha256": sha(back.decimal(ids, counts)), "decoded_sha256": sha(back.decode(ids, counts))})
+                at += len(part)
 
     return texts(docs).mapInArrow(run, SCHEMA)

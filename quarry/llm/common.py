@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of `[\x20\x09-\x0D]`, the white space of the contracts.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Numbers of so many rows are sent to all tasks (8 bytes each); those of more are joined by shuffling.
+SENT_ROWS = 500_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on one machine, a new temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +53,30 @@ def drop_path(spark: SparkSession, df: DataFrame) -> None:
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+#: Plan nodes that give the same rows in the same places each time they run.
+STEADY = {"FileScan", "Scan", "LocalTableScan", "Project", "Filter", "ColumnarToRow", "InputAdapter", "WholeStageCodegen", "AdaptiveSparkPlan", "Range", "LocalScan"}
+
+
+def steady(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """docs if it is read from files as it stands, so that rows have the same numbers each time; else a written copy."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+*-]*(?:\(\d+\) )?([A-Za-z]+)", line))}
+    return docs if nodes <= STEADY else written(docs, name)
+
+
+def row_number() -> Column:
+    """A number for each row of a table that steady() gave: the same in every query that takes it right where the table is read."""
+    return F.monotonically_increasing_id()
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs (which steady() gave) without the rows whose numbers are in gone, a table of one column `row`. All columns stay as they are."""
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), row_number().alias("row"))
+    gone = written(gone.select("row"), "gone")
+    few = gone.count() <= SENT_ROWS
+    return keyed.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("own.*")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (and other named columns), null texts as empty ones."""
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *more)

@@ -3,12 +3,13 @@
 The index stores a posting (term, row, position) for each token of the training texts that is a word of the benchmark,
 and one posting per row with its length. The benchmark's windows of consecutive words are matched by intersecting
 posting lists adjusted by the words' offsets: first those of a window's two rarest terms, which leave few candidates,
-then those of all its words. Near matches (the two rarest words within some distance of where they should be) come
-from the same lists.
+then those of all its words. Proximity matches come from the same lists: windows most of whose words stand near the
+places that they should have to the rarest one.
 
 Defined results: null texts have no words; an item of fewer words than a window, but not none, is one window; items
-with the same words are all named; repeated rows are judged each; empty tables give empty or clean results; only
-doc_id, text, item_id are read.
+with the same words are all named; texts of any length are indexed whole; repeated rows, rows of one doc_id and rows
+without doc_id are judged each on its own; empty tables give empty or clean results; only doc_id, text, item_id are
+read.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import row_number, steady, without_rows, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: A proximity match: words at most so far from their places, and so many of ten different ones.
+DISTANCE, OF_TEN = 3, 8
 #: A side of at most so many rows (of fewer than 100 bytes) is sent to all tasks; a longer one is joined by shuffling.
 SENT_ROWS = 200_000
 
@@ -48,7 +51,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
     """term (number; -1: the length of the row), row, doc_id, pos. vocabulary: word, term."""
     w = F.concat(F.coalesce(words(docs["text"]), F.array().cast("array<string>")), F.array(F.lit("")))
-    rows = docs.select("doc_id", w.alias("w")).select("doc_id", F.monotonically_increasing_id().alias("row"), "w")
+    rows = docs.select("doc_id", row_number().alias("row"), w.alias("w"))
     tokens = rows.select("doc_id", "row", F.posexplode("w").alias("pos", "word"))
     return tokens.join(small(vocabulary, terms), "word").select("term", "row", "doc_id", "pos")
 
@@ -60,62 +63,78 @@ def numbered(wins: DataFrame) -> DataFrame:
     return own.union(spark.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("term")))
 
 
-def offsets(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """win, size, place (0: the rarest term), term, off: the words of each different window, rarest first; wins without postings go."""
+def offsets(wins: DataFrame, counts: DataFrame, n_terms: int) -> DataFrame:
+    """win, size, place (0: the rarest term), term, off: the words of each different window, rarest first; wins without postings go. counts: at most n_terms rows."""
     each = wins.select("win", "terms").dropDuplicates(["win"]).select("win", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "word"))
-    each = each.withColumn("term", F.xxhash64("word").bitwiseAND(F.lit(2**62 - 1))).join(counts, "term", "left")
+    each = each.withColumn("term", F.xxhash64("word").bitwiseAND(F.lit(2**62 - 1))).join(small(counts, n_terms), "term", "left")
     lists = each.groupBy("win", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("l")).where("l[0].n > 0")
     return lists.select("win", "size", F.posexplode("l").alias("place", "x")).select("win", "size", "place", "x.term", "x.off")
 
 
-def first_two(index: DataFrame, order: DataFrame, n_order: int) -> DataFrame:
-    """win, size, row, start: where a window's two rarest words stand as they should."""
-    at = lambda place: index.join(small(order.where(F.col("place") == place), n_order), "term").select("win", "size", "row", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    single = at(0).where("size = 1")
-    pairs = at(0).where("size > 1").join(at(1), ["win", "size", "row", "start"])
-    return pairs.union(single)
+def first_two(index: DataFrame, order: DataFrame, n_order: int, distance: int) -> DataFrame:
+    """win, size, row, start, shift: where a window starts by its rarest word, and how far its second rarest is from its place: at most `distance`."""
+    at = lambda place: index.join(small(order.where(F.col("place") == place), n_order), "term").select("win", "size", "row", (F.col("pos") - F.col("off")).alias("start"))
+    cell = lambda c: F.floor(c / (distance + 1)).cast("int")
+    first = at(0).where("size > 1").withColumn("cell", F.explode(F.array(*[cell(F.col("start")) + d for d in (-1, 0, 1)])))
+    second = at(1).select("win", "row", F.col("start").alias("other"), cell(F.col("start")).alias("cell"))
+    pairs = first.join(second, ["win", "row", "cell"]).select("win", "size", "row", "start", (F.col("other") - F.col("start")).alias("shift")).where(F.abs("shift") <= distance)
+    return pairs.union(at(0).where("size = 1").withColumn("shift", F.lit(0)))
 
 
-def phrase_matches(index: DataFrame, order: DataFrame, n_order: int) -> DataFrame:
-    """win, size, row, start of each occurrence of a window."""
-    held = written(first_two(index, order, n_order), "candidates")
-    longer = held.where("size > 2")
-    rows = written(longer.select("row").distinct(), "rows")
+def matches(index: DataFrame, order: DataFrame, n_order: int, distance: int = DISTANCE) -> DataFrame:
+    """win, size, row, start of each window and start that its words agree on; exact: whether all words stand in their places.
+
+    The others are proximity matches: OF_TEN of ten different words (as it rounds up) are at most `distance` from their places.
+    """
+    held = written(first_two(index, order, n_order, distance), "candidates")
+    rows = written(held.select("row").distinct(), "rows")
     near = index.where("term >= 0").join(small(rows, rows.count()), "row", "left_semi")
-    wanted = longer.join(small(order.where("place > 1").drop("size"), n_order), "win").select("win", "size", "row", "start", "term", (F.col("start") + F.col("off")).cast("int").alias("pos"))
-    whole = wanted.join(near.select("row", "term", "pos"), ["row", "term", "pos"]).groupBy("win", "size", "row", "start").count().where("count = size - 2").drop("count")
-    return whole.unionByName(held.where("size <= 2"))
+    starts = held.groupBy("win", "size", "row", "start").agg(F.max(F.when(F.col("shift") == 0, 1).otherwise(0)).alias("straight"))
+    wanted = starts.where("size > 2").join(small(order.where("place > 1").drop("size"), n_order), "win").select("win", "size", "row", "start", "straight", "off", "term", (F.col("start") + F.col("off")).alias("due"))
+    # words in their places by equality; words near them by cells of the distance
+    cell = lambda c: F.floor(c / (distance + 1)).cast("int")
+    wide = wanted.withColumn("cell", F.explode(F.array(*[cell(F.col("due")) + d for d in (-1, 0, 1)])))
+    there = near.select("row", "term", "pos", cell(F.col("pos")).alias("cell"))
+    met = wide.join(there, ["row", "term", "cell"]).where(F.abs(F.col("pos") - F.col("due")) <= distance)
+    by_word = met.groupBy("win", "size", "row", "start", "straight", "off").agg(F.min(F.abs(F.col("pos") - F.col("due"))).alias("away"))
+    counted = by_word.groupBy("win", "size", "row", "start", "straight").agg(F.count("*").alias("n_near"), F.count_if(F.col("away") == 0).alias("n_there"))
+    exact = (F.col("straight") == 1) & (F.col("n_there") == F.col("size") - 2)
+    longer = counted.where(10 * (F.col("n_near") + 2) >= OF_TEN * F.col("size")).select("win", "size", "row", "start", exact.alias("exact"))
+    return longer.unionByName(starts.where("size <= 2").select("win", "size", "row", "start", (F.col("straight") == 1).alias("exact")))
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs by exact phrases.
 
-def near_matches(index: DataFrame, order: DataFrame, distance: int) -> DataFrame:
-    """win, row of windows whose two rarest words stand within `distance` words of the places they should have to each other."""
-    at = lambda place: index.join(order.where(F.col("place") == place), "term").select("win", "row", (F.col("pos") - F.col("off")).alias("start"))
-    cell = lambda c: F.floor(c / (distance + 1))
-    left = at(0).select("win", "row", F.col("start").alias("a"), F.explode(F.array(*[cell(F.col("start")) + d for d in (-1, 0, 1)])).alias("cell"))
-    right = at(1).select("win", "row", F.col("start").alias("b"), cell(F.col("start")).alias("cell"))
-    return left.join(right, ["win", "row", "cell"]).where(F.abs(F.col("a") - F.col("b")) <= distance).select("win", "row").distinct()
+    Then n_near_items, near_items: how many items have proximity matches alone there, and their ids, comma-joined.
+    """
+    return judged(docs, benchmark, size).drop("row")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
+def judged(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The same with row, the number of each row."""
     wins = written(windows(benchmark, size), "windows")
     vocabulary = written(numbered(wins), "vocabulary")
-    index = written(build_index(docs, vocabulary, vocabulary.count()), "index")
-    counts = index.where("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
-    order = written(offsets(wins, counts), "order")
-    found = written(phrase_matches(index, order, order.count()), "matches")
-    covered = found.select("row", "start", "size").distinct().select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
+    n_terms = vocabulary.count()
+    index = written(build_index(docs, vocabulary, n_terms), "index")
+    counts = written(index.where("term >= 0").groupBy("term").agg(F.count("*").alias("n")), "counts")
+    order = written(offsets(wins, counts, n_terms), "order")
+    found = written(matches(index, order, order.count()), "matches")
+    exact = found.where("exact")
+    covered = exact.select("row", "start", "size").distinct().select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
-    items = found.select("win", "row").distinct().join(wins.select("win", "item_id"), "win").select("row", "item_id").distinct()
-    named = items.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
+    items = found.groupBy("win", "row").agg(F.max("exact").alias("exact")).join(wins.select("win", "item_id"), "win").groupBy("row", "item_id").agg(F.max("exact").alias("exact"))
+    of = lambda told: F.array_join(F.array_sort(F.collect_list(F.when(told, F.col("item_id")))), ",")
+    named = items.groupBy("row").agg(F.count_if("exact").alias("n_items"), of(F.col("exact")).alias("items"), F.count_if(~F.col("exact")).alias("n_near_items"), of(~F.col("exact")).alias("near_items"))
     rows = index.where("term = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.join(hit, "row", "left").join(named, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
-    )
+        "row", "doc_id", "n_words", none("n_hit"), none("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        none("n_near_items"), F.coalesce("near_items", F.lit("")).alias("near_items"),
+    )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark, in all their columns."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("own_id")).distinct()
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("own_id"))
-    return keyed.join(bad, "own_id", "left_anti").select("row.*")
+    """docs without the rows that hold a window of the benchmark, in all their columns. Rows are told apart by their numbers."""
+    docs = steady(docs)
+    return without_rows(docs, judged(docs, benchmark).where("contaminated").select("row"))

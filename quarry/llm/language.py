@@ -6,27 +6,29 @@ training texts are landmarks; the Nyström map turns kernels with landmarks into
 separates each language from the rest. Many texts are scored by one matrix product with the landmarks and one with
 the weights.
 
-Training takes a bounded sample of rows per language. Defined results: null texts and texts without a letter are `und`
+N-grams are hashed to COLUMNS numbers, so some share one; a very long text has most of them. Training takes a bounded
+sample of rows of at most LANGUAGES languages. Defined results: null texts and texts without a letter are `und`
 with score 0; without training rows every text is; repeated rows score alike; only text (and for learning doc_id and
-lang) is read.
+lang) is read. Letters are the characters of Unicode's categories L. Texts of any length are read whole, in parts. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.vocabulary import grouped_texts
 
 COLUMNS, LONGEST = 8192, 3
-#: The bound of the sample: texts and landmarks of each language.
-SAMPLE, LANDMARKS, RIDGE = 500, 32, 1e-3
-letter = re.compile(r"[^\W\d_]")
+#: The bound of the sample: languages (those with most rows), texts and landmarks of each language.
+LANGUAGES, SAMPLE, LANDMARKS, RIDGE = 200, 500, 32, 1e-3
+letter = regex.compile(r"\p{L}")
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -83,13 +85,11 @@ def held_out(docs: DataFrame) -> F.Column:
 def fit(docs: DataFrame) -> Model | None:
     """The model of at most SAMPLE rows of each language, those first in the order of a hash of doc_id; None without any."""
     rows = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs)).select("doc_id", "lang", F.xxhash64(F.lit("lang"), "doc_id").alias("h"))
-    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    ids = None
-    for name in names:
-        part = rows.where(F.col("lang") == name).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id", F.col("lang").alias("own"))
-        ids = part if ids is None else ids.union(part)
-    if ids is None:
-        return None
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    ids = rows.join(F.broadcast(most), "lang").withColumn("part", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):  # in two steps, so that a task gets a bounded number of rows of a frequent language
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("place") <= SAMPLE).drop("place")
+    ids = ids.select("doc_id", F.col("lang").alias("own"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

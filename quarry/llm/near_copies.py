@@ -9,8 +9,8 @@ of near copies isn't paired with itself; a second round takes all pairs of large
 components. The candidates are checked on the shingles of their texts.
 
 Defined results: null and empty texts have no shingles and aren't linked; fewer than five words are one shingle; equal
-sets are linked; of each component the row with the smallest doc_id stays, as often as it stands there, and rows
-without doc_id stay; an empty table gives an empty result; only doc_id and text are read.
+sets are linked; texts of any length are read whole; of each component exactly one row stays, that of the smallest
+doc_id, rows without doc_id last; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import texts, written
+from quarry.llm.common import row_number, steady, texts, without_rows, written
 from quarry.llm.components import components
-from quarry.llm.simhash import runs, shingle_hashes
+from quarry.llm.simhash import first_rows, runs, shingle_hashes
 
 WORDS = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -74,7 +74,7 @@ def prefix(found: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash of the text, digest of the set (null: it is empty), n (its size) and prefix of each row of docs."""
+    """doc_id, row (its number), row_hash of the text, digest of the set (null: it is empty), n (its size) and prefix of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +85,9 @@ def prefixes(docs: DataFrame) -> DataFrame:
             digest = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in found], pa.int64())
             ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_hash": batch.column("row_hash"), "digest": digest, "n": pa.array([len(x) for x in found], pa.int32()), "prefix": lists})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "row_hash": batch.column("row_hash"), "digest": digest, "n": pa.array([len(x) for x in found], pa.int32()), "prefix": lists})
 
-    return texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash")).mapInArrow(run, "doc_id long, row_hash long, digest long, n int, prefix array<long>")
+    return texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"), row_number().alias("row")).mapInArrow(run, "doc_id long, row long, row_hash long, digest long, n int, prefix array<long>")
 
 
 def pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, pos: np.ndarray, component: np.ndarray | None, steps: range) -> tuple[np.ndarray, np.ndarray]:
@@ -184,17 +184,16 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return components(links.union(written(checked(again, rows, docs), "links")))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash (of the text), component_id (smallest doc_id reachable over links; the own one without links) of each row."""
+def components_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row, component of each row; no component for rows without shingles."""
     rows = written(prefixes(docs), "prefixes")
-    own = rows.select("doc_id", "row_hash", "digest").join(linked(docs, rows).withColumnRenamed("id", "digest"), "digest", "left")
-    own = own.withColumn("component", F.coalesce("component", "digest"))
-    least = own.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return own.join(least, "component", "left").select("doc_id", "row_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = linked(docs, rows).withColumnRenamed("id", "digest")
+    return rows.select("doc_id", "row", "digest").join(roots, "digest", "left").select("doc_id", "row", F.coalesce("component", "digest").alias("component"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, in all their columns: the one with the smallest doc_id; rows without doc_id stay."""
-    gone = written(near_copies(docs).where("doc_id > component_id").select(F.col("doc_id").alias("own_id"), "row_hash").distinct(), "near-copies")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"))
-    return keyed.join(gone, ["own_id", "row_hash"], "left_anti").select("row.*")
+    """docs with one row of each component, in all their columns; rows without shingles stay."""
+    docs = steady(docs)
+    rows = written(components_of(docs), "near-copies")
+    own = rows.where("component IS NOT NULL")
+    return without_rows(docs, own.select("row").join(first_rows(own, "component"), "row", "left_anti"))

@@ -5,12 +5,13 @@ segments keeps every prefix of length l within the proportional budget l*2/5 of
 segments are equal, then at most 1 difference in three and in four, then 2 in all. So fingerprints meet only under an
 equal pair of consecutive segments (about 26 bits); the rest of the chain prunes them before the full count. A pair of
 segments that many different fingerprints share is split again by the same rule on the other 38 bits, so that no task
-gets an unbounded group, and links are not lost. Of each group only a spanning forest of the links is kept, which has
-the same components as all links.
+gets a large group, and links are not lost; groups of that second split are searched in tiles of bounded size. Of each
+group only a spanning forest of the links is kept, which has the same components as all links.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; fewer than three words are
-one shingle; repeated rows and ties count as often as they stand there; an empty table gives an empty result; only
-doc_id and text are read. A null doc_id takes part in no link other than through its equal fingerprint.
+one shingle; texts of any length are read whole; repeated rows and ties count as often as they stand there; an empty
+table gives an empty result; only doc_id and text are read. Rows without doc_id are linked like others; a component of
+such rows alone has no component_id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import texts, written
+from quarry.llm.common import row_number, steady, texts, without_rows, written
 from quarry.llm.components import components
 from quarry.llm.vocabulary import grouped_texts
 
@@ -72,11 +73,11 @@ def shingle_hashes(text: str, words: int = 3) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts.tolist(), (ends[words - 1 :] - 1).tolist())), repeat(42)))
 
 
-def fingerprints_of(group: list[str]) -> np.ndarray:
+def fingerprints_of(group: list[str], words: int = 3) -> np.ndarray:
     """The fingerprint of each text."""
     out = np.zeros(len(group), np.uint64)
     for i, text in enumerate(group):
-        hashes = np.array(shingle_hashes(text), np.uint64)
+        hashes = np.array(shingle_hashes(text, words), np.uint64)
         total = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 20_000):
             total += np.unpackbits(hashes[at : at + 20_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -84,15 +85,15 @@ def fingerprints_of(group: list[str]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed number) of each row of docs."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, row (its number), fp (the fingerprint as a signed number) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprints_of(group) for group in grouped_texts(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))})
+            found = [fingerprints_of(group, words) for group in grouped_texts(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fp": pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))})
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, row_number().alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def forest(fps: np.ndarray, ids: np.ndarray, chain: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -168,17 +169,29 @@ def links(distinct: DataFrame) -> DataFrame:
     return linked(cold)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def components_of(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, row, fp, component (smallest fingerprint reachable, as a signed number) of each row."""
+    rows = written(fingerprints(docs, words), "fingerprints")
+    distinct = written(rows.select("fp").distinct().select("fp", F.col("fp").alias("id")), "distinct")
+    roots = components(written(links(distinct), "links"))
+    return rows.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("doc_id", "row", "fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of each row."""
-    rows = written(fingerprints(docs), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    roots = components(written(links(distinct.where("id IS NOT NULL")), "links"))
-    named = distinct.join(roots, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id; rows without doc_id stay."""
-    stay = near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("own_id")).distinct()
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("own_id"))
-    return keyed.join(stay, "own_id", "left_semi").select("row.*")
+    rows = written(components_of(docs, words), "components")
+    named = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(rows: DataFrame, key: str) -> DataFrame:
+    """row of the row of each key that stays: the one with the smallest doc_id, rows without doc_id last. rows: key, doc_id, row."""
+    best = F.max(F.struct(F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best")
+    return rows.groupBy(key).agg(best).select(F.bitwise_not("best.row").alias("row"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs with one row of each component, in all its columns."""
+    docs = steady(docs)
+    rows = written(components_of(docs, words), "components")
+    return without_rows(docs, rows.select("row").join(first_rows(rows, "component"), "row", "left_anti"))

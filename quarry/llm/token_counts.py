@@ -5,7 +5,8 @@ lowest-ranked pair at the same time (in a run of overlapping ones every second,
 merging one by one does: a pair with the new symbol ranks after the merge that makes the symbol. The symbols that
 survive are counted.
 
-Null and empty texts have 0 tokens; repeated rows are counted each; other columns are not read.
+Defined results: null and empty texts have 0 tokens; texts of any length are counted whole; repeated rows are counted
+each; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import texts
-from quarry.llm.vocabulary import NONE, Kept, Merges, Pieces, grouped_texts, spaced_chunks, vocabulary
+from quarry.llm.vocabulary import HELD, NONE, Kept, Merges, Pieces, grouped_texts, spaced_chunks, vocabulary
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -86,11 +87,8 @@ class Counter:
     def __init__(self, path: str):
         own = vocabulary(path)
 
-        def lengths(pieces: list) -> list[int]:
-            return [1] * len(pieces) if pieces and isinstance(pieces[0], int) else merged_lengths(*own.start(pieces), own.merges).tolist()
-
-        self.pieces = Pieces(own, lengths)
-        self.first, self.rest = Kept(lambda chunks: self.count(chunks, ""), 20_000), Kept(lambda chunks: self.count(chunks, " "))
+        self.pieces = Pieces(own, lambda pieces: merged_lengths(*own.start(pieces), own.merges).tolist(), lambda _: 1)
+        self.first, self.rest = Kept(lambda chunks: self.count(chunks, ""), 8_000_000), Kept(lambda chunks: self.count(chunks, " "), 2 * HELD)
 
     def count(self, chunks: list[str], before: str) -> Iterator[int]:
         of = self.pieces.__getitem__
@@ -98,8 +96,8 @@ class Counter:
 
     def counts(self, group: list[str]) -> list[int]:
         cut = [spaced_chunks(t) if t else ("", []) for t in group]
-        self.first.cover(f for f, _ in cut)
-        self.rest.cover(chain.from_iterable(rest for _, rest in cut))
+        self.first.cover({f for f, _ in cut})
+        self.rest.cover(set(chain.from_iterable(rest for _, rest in cut)))
         of = self.rest.__getitem__
         return [self.first[f] + sum(map(of, rest)) for f, rest in cut]
 

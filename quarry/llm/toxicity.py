@@ -266,7 +266,7 @@ def scorer(model: Model | None) -> Callable[[list[str]], list[float | None]]:
         for group in grouped_texts(batch):
             cut = [words_of(t) if model else [] for t in group]
             if model:
-                kept.cover(chain.from_iterable(cut))
+                kept.cover(set(chain.from_iterable(cut)))
             found += [most_toxic(np.fromiter(map(kept.__getitem__, words), np.float64, len(words))) if words else None for words in cut]
         return found
 

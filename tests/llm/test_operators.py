@@ -8,14 +8,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, components, decontamination, exact_dedup, language, secrets, simhash, substring_dedup, token_counts, token_store, toxicity
+from quarry.llm import bpe, components, decontamination, exact_dedup, language, near_copies, secrets, simhash, substring_dedup, token_counts, token_store, toxicity
 from quarry.llm.common import new_path
-from quarry.llm.vocabulary import vocabulary
+from quarry.llm.vocabulary import Ids, vocabulary
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -101,6 +102,64 @@ def test_one_tree_and_many_trees_agree():
         assert flat[a:b].tolist() == bpe.Tree(symbols.tolist(), v.merges).run()
 
 
+def test_decoding_of_ids_alone():
+    for path in (WORD, BYTE):
+        t = Tokenizer.from_file(path)
+        r = random.Random(1)
+        ids = [[], [1], [t.get_vocab_size() - 1], *([r.randrange(t.get_vocab_size()) for _ in range(r.randint(1, 40))] for _ in range(50))]
+        assert bpe.decode(ids, path) == [t.decode(x, skip_special_tokens=False) for x in ids]
+
+
+def test_what_a_worker_holds_is_bounded_by_bytes(monkeypatch):
+    t, r = Tokenizer.from_file(WORD), random.Random(2)
+    monkeypatch.setattr("quarry.llm.vocabulary.HELD", 20_000)
+    own = Ids(v := vocabulary(WORD), lambda pieces: bpe.encoded(pieces, v))
+    own.pieces.size = 20_000
+    for k in range(12):
+        group = ["".join(r.choice("abcdefghij .,") for _ in range(2000)) + f" Straße x{k} don't, <|endoftext|>. A.B. " + "z" * 3000 for _ in range(5)]
+        ids, counts = own.of(pa.array(group), 7)
+        want = [[*t.encode(x, add_special_tokens=False).ids, 7] for x in group]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [*map(len, want)]
+    seen = {p for p in [*own.pieces, *own.pieces.older] if isinstance(p, str)}
+    assert "x11" not in seen or "x1" not in seen  # pieces of the first groups are gone
+    own.trim()
+    assert own.known.nbytes <= 40_000
+
+
+def test_blocks_of_the_store(spark):
+    texts = [f"word{i} and some others of block {i % 7}" for i in range(300)]
+    docs = table(spark, texts, [i // 3 if i % 50 else None for i in range(300)])
+    token_store.write_tokens(docs, path := new_path(spark, "t"), WORD, size=200)
+    stored = spark.read.parquet(path)
+    assert stored.groupBy("shard").count().where("count > 3").count() and stored.where("total > 260").count() == 0
+    t, got = Tokenizer.from_file(WORD), token_store.token_digests(spark, path).collect()
+    want = Counter((d.doc_id, zlib.crc32(np.array([*t.encode(d.text, add_special_tokens=False).ids, 2], "<u4").tobytes())) for d in docs.collect())
+    assert Counter((x.doc_id, x.ids_crc32) for x in got) == want
+    got.sort(key=lambda x: x.start)
+    assert [x.start for x in got] == [sum(y.n_tokens for y in got[:i]) for i in range(300)]
+    assert [x.doc_id or -1 for x in got] == sorted(x.doc_id or -1 for x in got)
+    read = token_store.read_tokens(spark, path, [40], 1, 3)
+    assert sorted(x.ids for x in read.collect()) == sorted(t.encode(d.text, add_special_tokens=False).ids[1:3] for d in docs.collect() if d.doc_id == 40)
+    assert re.search(r"PushedFilters: \[[^]]*first_id", read._jdf.queryExecution().executedPlan().toString())
+    assert token_store.read_tokens(spark, path, []).collect() == []
+
+
+def test_no_pair_is_left_that_can_be_replaced():
+    r = np.random.default_rng(4)
+    ids = np.concatenate([r.integers(0, 12, 5000), np.zeros(400, np.int64)]).astype(np.uint32)
+    starts = np.arange(0, 5400, 90)
+    sequence, places, g = token_store.compress(ids, starts, 12)
+    assert (g.expand_all(sequence) == ids).all() and (g.sizes(np.arange(12, 12 + len(g.left))) == g.lengths).all()
+    left = Counter()
+    for a, b in zip(places, [*places[1:], len(sequence)], strict=True):
+        at = -2
+        for i in range(a, b - 1):
+            if not (i == at + 1 and sequence[i] == sequence[i + 1] == sequence[i - 1]):  # runs hold half as many
+                left[sequence[i], sequence[i + 1]] += 1
+                at = i
+    assert max(left.values()) < token_store.LEAST
+
+
 def test_token_store_round_trip(spark, texts):
     ids = [None, *range(1, len(texts))][::-1]
     token_store.write_tokens(table(spark, texts, ids).repartition(3), path := new_path(spark, "t"), WORD)
@@ -143,9 +202,48 @@ def test_exact_dedup_by_brute_force(spark, texts):
     assert sorted(r.doc_id for r in exact_dedup.without_copies(docs, F.col("doc_id") < 40).collect()) == sorted(min(g)[1] for g in groups.values())
 
 
-def test_repeated_rows_leave_one(spark):
-    docs = table(spark, ["x", "x", "y"], [1, 1, 2])
-    assert sorted(r.doc_id for r in exact_dedup.without_copies(docs, F.lit(False)).collect()) == [1, 2]
+def surviving(rows):
+    return sorted(((r.doc_id is None, r.doc_id, r.text is None, r.text or "") for r in rows), key=str)
+
+
+@pytest.mark.parametrize("historical", ["false", "true", "doc_id = 1"])
+def test_one_row_of_each_group_of_equal_texts_stays(spark, historical):
+    least, historical = -(2**63), F.expr(historical)
+    docs = table(spark, ["x", "x", "y", "a b", "a\tb", "ab", None, "", "q", "q", "r", "r"], [1, 1, 2, 3, 3, 4, 5, None, None, None, least, 2**63 - 1])
+    got = exact_dedup.without_copies(docs, historical).collect()
+    assert [(r.doc_id, normal(r.text)) for r in sorted(got, key=lambda r: normal(r.text))] == [(5, ""), (3, "ab"), (None, "q"), (least, "r"), (1, "x"), (2, "y")]
+    told = {(r.doc_id, r.text_sha256[:4]): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, historical).collect()}
+    assert told[2**63 - 1, hashlib.sha256(b"r").hexdigest()[:4]] == (least, 2, False)
+
+
+def test_a_saved_index_is_looked_up_later(spark):
+    exact_dedup.save_index(table(spark, ["a b", "ab", "c", None]), path := new_path(spark, "index"))
+    got = by_id(exact_dedup.known_before(table(spark, ["a\nb", "d", "", "c", "d"]), path))
+    assert [(got[i].known, got[i].known_as) for i in range(5)] == [(True, 0), (False, None), (True, 3), (True, 2), (False, None)]
+    exact_dedup.save_index(table(spark, []), path := new_path(spark, "index"))
+    assert [r.known for r in exact_dedup.known_before(table(spark, ["a"]), path).collect()] == [False]
+    assert exact_dedup.known_before(table(spark, []), path).collect() == []
+
+
+def test_clean_rows_of_a_contaminated_doc_id_stay(spark):
+    bench = spark.createDataFrame([(1, "some words here")], "item_id long, text string")
+    bad, clean = "x some words here y", "nothing of it"
+    docs = table(spark, [bad, clean, bad, clean, clean, None], [None, None, 7, 7, 8, 8])
+    assert surviving(decontamination.without_contaminated(docs, bench).collect()) == surviving(table(spark, [clean, clean, clean, None], [None, 7, 8, 8]).collect())
+
+
+def test_one_row_of_each_component_stays(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    docs = table(spark, [long, long, long, "other text", None, "", None], [1, 1, None, 2, None, None, 3])
+    for stage in (simhash.one_of_each, near_copies.one_of_each):
+        got = surviving(stage(docs).collect())
+        empty = [(False, 3, True, "")] if stage == simhash.one_of_each else [(False, 3, True, ""), (True, None, False, ""), (True, None, True, "")]
+        assert got == sorted([(False, 1, False, long), (False, 2, False, "other text"), *empty], key=str)
+
+
+def test_rows_have_the_same_numbers_after_any_plan(spark):
+    docs = table(spark, [f"t {i % 10}" for i in range(200)]).repartition(5).groupBy("text").agg(F.first("doc_id").alias("doc_id"))
+    assert len(exact_dedup.without_copies(docs.union(docs), F.lit(False)).collect()) == 10
 
 
 def test_perfect_hash_is_minimal_and_tells_strangers():
@@ -159,9 +257,9 @@ def test_perfect_hash_is_minimal_and_tells_strangers():
     assert not ((held[made.slots(other)] == other).all(axis=1)).any()
 
 
-def fingerprint(text):
+def fingerprint(text, n=3):
     w = (text or "").encode().lower().split()
-    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    shingles = [b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -228,17 +326,27 @@ def repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shared", [2, 10_000])
-def test_repeats_by_brute_force_at_a_short_length(spark, shared):
+@pytest.mark.parametrize(("shared", "short", "sent"), [(2, 40, 1), (10_000, 40, 1), (2, 24, 10**6), (10_000, 24, 10**6)])
+def test_repeats_by_brute_force_at_a_short_length(spark, shared, short, sent, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SENT_CONTEXTS", sent)
+    monkeypatch.setattr(substring_dedup, "WORDS", 4)
     r = random.Random(8)
     passages = ["".join(r.choice("abcdef ") for _ in range(n)) for n in (40, 45, 60, 130)]
     texts = [None, "", "abc", "é" * 70, "é" * 70, "a" * 120, *ODD[13:15]]
     for _ in range(40):
         texts.append("".join(r.choice([r.choice(passages), "".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 50)))]) for _ in range(4)))
     texts += [texts[-1], texts[-2][7:-7]]
-    got = by_id(substring_dedup.without_repeats(table(spark, texts), 40, 8, shared))
+    got = by_id(substring_dedup.without_repeats(table(spark, texts), 40, 8, shared, short))
     for i, want in enumerate(repeats(texts, 40)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+    raws = [(t or "").encode() for t in texts]
+    for i, b in enumerate(raws):  # runs of more than 4 words of strings that stand in another row
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - short + 1):
+            if any(b[s : s + short] in other for k, other in enumerate(raws) if k != i):
+                gone[s : s + short] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0])))).reshape(-1, 2)
+        assert got[i].n_passages == sum(len(b[x:y].split()) > 4 for x, y in edges.tolist()), i
 
 
 def test_repeats_of_the_documents(spark):
@@ -255,7 +363,7 @@ def test_repeats_over_the_cut_of_a_long_text(monkeypatch):
     whole = substring_dedup.contexts_of(text, 40, 8)
     monkeypatch.setattr(substring_dedup, "PIECE", 512)
     parts = substring_dedup.contexts_of(text, 40, 8)
-    covered = lambda x: {(k, w) for k, p, a, b in zip(x[0].tolist(), x[3].tolist(), x[2].tolist(), x[4].tolist(), strict=True) for w in [(p, s) for s in range(a, b + 1)]}
+    covered = lambda x: {(k, w) for k, a, p, b in zip(*(y.tolist() for y in x[:4]), strict=True) for w in [(p, s) for s in range(a, b + 1)]}
     assert covered(whole) == covered(parts)
 
 
@@ -286,16 +394,46 @@ def test_decontamination_by_brute_force(spark):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == want, t
 
 
-def test_near_matches(spark):
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = table(spark, ["alpha x beta", "beta far far far far far far alpha", "alpha beta"])
-    wins = decontamination.windows(bench, 2)
-    vocabulary_ = decontamination.numbered(wins)
-    index = decontamination.build_index(docs, vocabulary_, 10)
-    counts = index.where("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
-    found = decontamination.near_matches(index, decontamination.offsets(wins, counts), 2)
-    rows = index.where("term = -1").select("row", "doc_id")
-    assert {r.doc_id for r in found.join(rows, "row").collect()} == {0, 2}
+def near_by_brute_force(texts, items):
+    """Per text: ids of items that have proximity matches and no exact one."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs, count = [words(t) for t in texts], Counter()
+    for d in docs:
+        count.update(d)
+    out = []
+    for d in docs:
+        exact, near = set(), set()
+        for k, x in items:
+            v = words(x)
+            n = min(10, len(v))
+            for w in {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else ():
+                order = sorted(range(n), key=lambda i: (count[w[i]], i))
+                away = lambda i, s, w=w: min((abs(p - s - i) for p, y in enumerate(d) if y == w[i]), default=99)
+                for s in {p - order[0] for p, y in enumerate(d) if y == w[order[0]]} if count[w[order[0]]] else ():
+                    far = [away(i, s) for i in order]
+                    if max(far) == 0:
+                        exact.add(str(k))
+                    elif n > 1 and far[1] <= 3 and 10 * sum(f <= 3 for f in far) >= 8 * n:
+                        near.add(str(k))
+        out.append(",".join(sorted(near - exact)))
+    return out
+
+
+def test_proximity_matches_by_brute_force(spark):
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(8)]
+    items = [(k, " ".join(r.choice([*common, *(f"w{k}{i}" for i in range(9))]) for _ in range(n))) for k, n in enumerate([1, 2, 3, 5, 9, 10, 12, 30])] + [(8, "the the the the")]
+    texts = ["the " * 12, "the x the", None]
+    for _, x in items * 4:
+        w = x.split()
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(w))
+            w = w[:i] + r.choice([[], [w[i], "new"], ["other"], [w[i], *common[:2]]]) + w[i + 1 :] or ["one"]
+        texts.append(" ".join([*r.choices(common, k=r.randint(0, 4)), *w, *r.choices(common, k=3)]))
+    got = by_id(decontamination.decontaminate(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")))
+    want = near_by_brute_force(texts, items)
+    assert [got[i].near_items for i in range(len(texts))] == want and sum(map(bool, want)) > 5
+    assert all(got[i].n_near_items == len(w.split(",")) if w else got[i].n_near_items == 0 for i, w in enumerate(want))
 
 
 def test_decontamination_stays_in_the_jvm(spark):
@@ -336,8 +474,8 @@ def test_language_ignores_labels_of_held_out_rows(spark):
 
 
 def test_texts_without_letters_are_undetermined(spark):
-    got = by_id(language.languages(table(spark, ["hello there", None, "", "123 !!", "good day"])))
-    assert [got[i].lang_pred for i in range(5)] == ["en", "und", "und", "und", "en"]
+    got = by_id(language.languages(table(spark, ["hello there", None, "", "123 !!", "good day", "1234 ½ ²", "Ⅷ ①", "ª 1"])))
+    assert [got[i].lang_pred for i in range(8)] == ["en", "und", "und", "und", "en", "und", "und", "en"]
 
 
 def test_toxicity_on_held_out_rows_and_misspellings(spark):
