@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SENT_ROWS, row_number, steady, written
+from quarry.llm.common import drop_path, row_number, steady, written
 from quarry.llm.simhash import runs
 
 LENGTH, SHORT, GRAM, WORDS = 400, 256, 32, 50
 #: An anchor with more different contexts is counted by windows.
 SHARED = 10_000
-#: So many contexts (under 60 bytes each) are sent to all tasks instead of shuffling the texts to them.
-SENT_CONTEXTS = 1_000_000
 PLACE_BITS = np.uint64(24)
 PIECE = 1 << 22
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -98,8 +96,8 @@ def segments(rows: DataFrame, length: int, gram: int, short: int) -> DataFrame:
     return rows.select("row", "raw").mapInArrow(run, "row long, key long, whole binary, low int, place int, high int, end int")
 
 
-def with_bytes(rows: DataFrame, needed: DataFrame, few: bool) -> DataFrame:
-    """The needed contexts with their bytes. needed: a list of contexts per row. few: it can be sent to all tasks."""
+def with_bytes(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """The needed contexts with their bytes. needed: a list of contexts per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +115,7 @@ def with_bytes(rows: DataFrame, needed: DataFrame, few: bool) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_pydict({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), cols, strict=True)})
 
-    joined = rows.join(F.broadcast(needed) if few else needed, "row").select("row", "raw", "wanted")
+    joined = rows.join(needed, "row").select("row", "raw", "wanted")
     return joined.mapInArrow(run, "key long, kinds long, row long, across boolean, low int, anchor int, windows int, bytes binary")
 
 
@@ -247,7 +245,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     whole = told.where("n > 1").select("row", F.col("low").alias("start"), "end", "across")
     one = (F.col("one.row") == F.col("row")) & (F.col("one.low") == F.col("low"))
     needed = told.where("kinds > 1").where(one).groupBy("row").agg(F.collect_list(F.struct("key", "kinds", "across", "low", "place", "high", "end")).alias("wanted"))
-    contexts = with_bytes(rows, needed, told.where("kinds > 1").where(one).count() <= SENT_CONTEXTS)
+    drop_path(docs.sparkSession, found)
+    contexts = with_bytes(rows, needed)
     spans = whole.unionByName(covers(contexts.where(F.col("kinds") <= shared), short))
     if told.where(F.col("kinds") > shared).limit(1).count():
         many = written(contexts.where(F.col("kinds") > shared), "many")
@@ -280,7 +279,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {n: pa.array(c, k) for (n, k), c in zip(kinds.items(), cols, strict=True)})
 
     docs = steady(docs)
-    spans = written(repeated_spans(docs, length, gram, shared, short), "spans")
-    few = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = keyed(docs).join(F.broadcast(spans) if few <= SENT_CONTEXTS and spans.count() <= SENT_ROWS else spans, "row", "left").select("doc_id", "raw", "spans")
+    joined = keyed(docs).join(repeated_spans(docs, length, gram, shared, short), "row", "left").select("doc_id", "raw", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, kept binary")
