@@ -6,7 +6,8 @@ leaves enough elements after it in both. So all links are found, not most of the
 frequent in a sample of the rows last; the sample decides what the search costs, never what it finds. A first round
 pairs the sets of each element with the next few of similar size. What that links is one component, so a large group
 of near copies isn't paired with itself; a second round takes all pairs of larger groups that are in different
-components. The candidates are checked on the shingles of their texts.
+components. Candidates are first checked by the counts of their shingles in 256 classes: two sets share at most the sum
+of the lesser counts, so no similar pair is lost. What passes is checked on the shingles of the texts.
 
 Defined results: null and empty texts have no shingles and aren't linked; fewer than five words are one shingle; equal
 sets are linked; texts of any length are read whole; of each component exactly one row stays, that of the smallest
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_number, steady, texts, without_rows, written
+from quarry.llm.common import SENT_ROWS, row_number, steady, texts, without_rows, written
 from quarry.llm.components import components
 from quarry.llm.simhash import first_rows, runs, shingle_hashes
 
@@ -47,6 +48,22 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
+def class_counts(found: np.ndarray) -> bytes | None:
+    """How many elements of a set are in each of 256 classes; None if a byte can't hold a count."""
+    count = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None
+
+
+def may_be_near(a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
+    """Of pairs of class counts, which can belong to sets of similarity PART / WHOLE or more."""
+    known = np.array([x is not None and y is not None for x, y in zip(a, b, strict=True)], bool)
+    left, right = (np.frombuffer(b"".join(x for x, k in zip(c, known, strict=True) if k), np.uint8).reshape(-1, 256) for c in (a, b))
+    both = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+    out = np.ones(len(known), bool)
+    out[known] = WHOLE * both >= PART * (left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64) - both)
+    return out
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in the sample, sorted, and the count of each."""
 
@@ -74,7 +91,7 @@ def prefix(found: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, row (its number), row_hash of the text, digest of the set (null: it is empty), n (its size) and prefix of each row of docs."""
+    """doc_id, row (its number), row_hash of the text, digest of the set (null: it is empty), n (its size), counts (class_counts) and prefix of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +102,9 @@ def prefixes(docs: DataFrame) -> DataFrame:
             digest = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in found], pa.int64())
             ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "row_hash": batch.column("row_hash"), "digest": digest, "n": pa.array([len(x) for x in found], pa.int32()), "prefix": lists})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "row_hash": batch.column("row_hash"), "digest": digest, "n": pa.array([len(x) for x in found], pa.int32()), "counts": pa.array([class_counts(x) if len(x) else None for x in found], pa.binary()), "prefix": lists})
 
-    return texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"), row_number().alias("row")).mapInArrow(run, "doc_id long, row long, row_hash long, digest long, n int, prefix array<long>")
+    return texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"), row_number().alias("row")).mapInArrow(run, "doc_id long, row long, row_hash long, digest long, n int, counts binary, prefix array<long>")
 
 
 def pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, pos: np.ndarray, component: np.ndarray | None, steps: range) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +178,20 @@ def checked(candidates: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
                 ok.append(near(last[1], shingles(text_b)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    one = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("row_hash").alias("row_hash"))
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                yield part.select(["a", "b"]).filter(pa.array(may_be_near(part.column("counts_a").to_pylist(), part.column("counts_b").to_pylist())))
+
+    told = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("counts").alias("counts"))
+    counts = lambda c: told.select(F.col("digest").alias(c), F.col("counts").alias(f"counts_{c}"))
+    candidates = written(candidates.join(counts("a"), "a").join(counts("b"), "b").select("a", "b", "counts_a", "counts_b").mapInArrow(possible, "a long, b long"), "possible")
+    wanted = candidates.select(F.col("a").alias("digest")).union(candidates.select("b")).distinct()
+    one = written(rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("row_hash").alias("row_hash")), "wanted")
+    few = one.count() <= SENT_ROWS
     own = docs.select(F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    found = written(own.join(written(one, "wanted"), "row_hash").dropDuplicates(["digest"]).select("digest", "text"), "texts")
+    found = written(own.join(F.broadcast(one) if few else one, "row_hash").dropDuplicates(["digest"]).select("digest", "text"), "texts")
     side = lambda c: found.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
     return candidates.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 

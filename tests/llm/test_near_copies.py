@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -71,3 +72,15 @@ def test_pipeline_leaves_no_near_copies(spark):
             docs = stage(spark, docs, SF)
     kept = [x.text for x in docs.collect()]
     assert len(staying(kept)) == len(kept)
+
+
+def test_class_counts_lose_no_similar_pair():
+    r = random.Random(5)
+    for _ in range(300):
+        n = r.choice([1, 3, 10, 100, 3000])
+        a = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+        b = np.unique(np.concatenate((a[: len(a) - r.randint(0, len(a) // 4)], np.array([r.getrandbits(64) for _ in range(r.randint(0, n // 4))], np.uint64))))
+        (kept,) = near_copies.may_be_near([near_copies.class_counts(a)], [near_copies.class_counts(b)])
+        assert kept or not near_copies.near(a, b)
+    same = np.arange(300, dtype=np.uint64) * np.uint64(256)
+    assert near_copies.class_counts(same) is None and near_copies.may_be_near([None, b"\0" * 256], [None, None]).all()
