@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_number, one_row, ratio
+from quarry.functions.ordered import quantiles, running
 from quarry.operators.segments import assign_centroid
 
 
@@ -27,16 +28,16 @@ def zscore(df: DataFrame, col: str, by: list[str], t: float = 3.0) -> DataFrame:
 
 def mad_score(df: DataFrame, col: str, by: list[str], t: float = 3.5) -> DataFrame:
     """Adds z by the median and 1.4826 times the median absolute deviation (null for none), and flag."""
-    half = F.lit(0.5)
-    with_median = joined(df, df.groupBy(*by).agg(F.percentile(col, half).alias("__m")), by)
-    spread = with_median.groupBy(*by).agg(F.percentile(F.abs(F.col(col) - F.col("__m")), half).alias("__d"))
+    with_median = joined(df, quantiles(df, col, [0.5], by).select(*by, F.col("q")[0].alias("__m")), by)
+    away = with_median.select(*by, F.abs(F.col(col) - F.col("__m")).alias("__away"))
+    spread = quantiles(away, "__away", [0.5], by).select(*by, F.col("q")[0].alias("__d"))
     z = ratio(F.col(col) - F.col("__m"), F.col("__d") * 1.4826)
     return joined(with_median, spread, by).withColumn("z", z).withColumn("flag", F.coalesce(F.abs("z") > t, F.lit(False))).drop("__m", "__d")
 
 
 def iqr_fence(df: DataFrame, col: str, by: list[str], k: float = 1.5) -> DataFrame:
     """Adds low and high (quartiles less and plus k times their distance) and flag for values outside."""
-    q = df.groupBy(*by).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    q = quantiles(df, col, [0.25, 0.75], by).withColumnRenamed("q", "__q")
     q = q.select(*by, (F.col("__q")[0] - k * (F.col("__q")[1] - F.col("__q")[0])).alias("low"), (F.col("__q")[1] + k * (F.col("__q")[1] - F.col("__q")[0])).alias("high"))
     return joined(df, q, by).withColumn("flag", F.coalesce((F.col(col) < F.col("low")) | (F.col(col) > F.col("high")), F.lit(False)))
 
@@ -63,7 +64,7 @@ def mahalanobis(df: DataFrame, cols: list[str], t: float) -> DataFrame:
 def centroid_outliers(df: DataFrame, cols: list[str], centroids: list[list[float]], p: float) -> DataFrame:
     """assign_centroid with flag for distances over the cluster's p-percentile."""
     near = assign_centroid(df, cols, centroids)
-    cut = near.groupBy("cluster").agg(F.percentile("distance", F.lit(p)).alias("cut"))
+    cut = quantiles(near, "distance", [p], ["cluster"]).select("cluster", F.col("q")[0].alias("cut"))
     return near.join(one_row(cut), "cluster").withColumn("flag", F.col("distance") > F.col("cut"))
 
 
@@ -89,10 +90,10 @@ def average_path(n: float) -> float:
 def isolation_forest(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
     """Adds score (0 to 1, higher: easier to isolate). Each tree grows in a task of its own from a sample of bounded size."""
     n = df.count()
-    rate = min(1.0, 2.0 * sample * trees / max(1, n))
+    # every row is dealt to one tree by a hash, however many rows there are; of a tree's rows at most 4 * sample take part
+    rate = min(1.0, 4.0 * sample * trees / max(1, n))
     pool = df.select(*cols, key).dropna().where(hash_number(key, f"pool{seed}") < int(rate * 2**32))
-    picked = pool.select(*cols, (hash_number(key, f"tree{seed}") % trees).cast("int").alias("tree")) if n > sample * trees else pool.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), key).where(
-        hash_number(F.concat_ws("-", F.col(key).cast("string"), F.col("tree")), f"s{seed}") < int(min(1.0, 1.5 * sample / max(1, n)) * 2**32))
+    picked = pool.select(*cols, (hash_number(key, f"tree{seed}") % trees).cast("int").alias("tree"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -154,16 +155,14 @@ def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """n_pos, n_neg, auc (area under the ROC curve; ties count one half)."""
-    below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = by_score(df, label, score).withColumn("below", F.coalesce(below, F.lit(0)))
+    ranked = running(by_score(df, label, score), "score", ["neg"]).withColumn("below", F.col("neg_run") - F.col("neg"))
     won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5))
     return ranked.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), ratio(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """average_precision over distinct scores from the highest."""
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by_score(df, label, score).withColumns({"tp": F.sum("pos").over(w), "seen": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    ranked = running(by_score(df, label, score), "score", ["pos", "neg"], descending=True).withColumns({"tp": F.col("pos_run"), "seen": F.col("pos_run") + F.col("neg_run")})
     return ranked.agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("average_precision"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import all_of, one_row, ratio
+from quarry.functions.ordered import quantiles_of_counts, running
 
 CHECK = ("check_name", "column_name", "n_rows", "n_bad", "pass")
 
@@ -21,13 +22,24 @@ def checked(df: DataFrame, rules: list[tuple[str, str, Column]], most: float = 0
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """column_name, n, n_null, n_distinct, low, high, mean, deviation, q1, median, q3, kurtosis of each number column."""
+    """column_name, n, n_null, n_distinct, low, high, mean, deviation, q1, median, q3, kurtosis of each number column.
+
+    Moments take one pass. Exact numbers of distinct values and quartiles come from the counts at distinct values of
+    each column; without exact, from sketches in the same pass.
+    """
     cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    q = (lambda c, p: F.percentile(c, F.lit(p))) if exact else (lambda c, p: F.percentile_approx(c, p).cast("double"))
-    made = {"n": lambda c: F.count("*"), "n_null": lambda c: F.count_if(F.col(c).isNull()), "n_distinct": distinct, "low": lambda c: F.min(c).cast("double"), "high": lambda c: F.max(c).cast("double"), "mean": F.avg, "deviation": F.stddev_samp, "q1": lambda c: q(c, 0.25), "median": lambda c: q(c, 0.5), "q3": lambda c: q(c, 0.75), "kurtosis": F.kurtosis}
+    made = {"n": lambda c: F.count("*"), "n_null": lambda c: F.count_if(F.col(c).isNull()), "low": lambda c: F.min(c).cast("double"), "high": lambda c: F.max(c).cast("double"), "mean": F.avg, "deviation": F.stddev_samp, "kurtosis": F.kurtosis}
+    if not exact:
+        made |= {"n_distinct": F.approx_count_distinct, **{n: lambda c, p=p: F.percentile_approx(c, p).cast("double") for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}}
     sums = df.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in made.items()])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{n}").alias(n) for n in made]) for c in cols])).alias("x")).select("x.*")
+    out = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{n}").alias(n) for n in made]) for c in cols])).alias("x")).select("x.*")
+    if not exact:
+        return out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*").where("v IS NOT NULL")
+    counts = long.groupBy("column_name", "v").agg(F.count("*").alias("__n"))
+    distinct = counts.groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+    cuts = quantiles_of_counts(counts, "v", "__n", [0.25, 0.5, 0.75], ["column_name"])
+    return out.join(F.broadcast(distinct), "column_name", "left").join(F.broadcast(cuts), "column_name", "left").select("column_name", "n", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "low", "high", "mean", "deviation", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "kurtosis")
 
 
 def completeness(df: DataFrame, cols: list[str], least: float = 1.0) -> DataFrame:
@@ -104,9 +116,8 @@ def ks(base: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """Largest distance of the two distributions, from the counts at distinct values."""
     counts = counted(base, cur, F.col(col))
     total = one_row(counts.agg(F.sum("n_base").alias("tb"), F.sum("n_cur").alias("tc")))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumns({"cb": F.sum("n_base").over(w), "cc": F.sum("n_cur").over(w)}).crossJoin(total)
-    return run.agg(F.max(F.abs(ratio(F.col("cb"), F.col("tb")) - ratio(F.col("cc"), F.col("tc")))).alias("ks"))
+    run = running(counts, "v", ["n_base", "n_cur"]).crossJoin(total)
+    return run.agg(F.max(F.abs(ratio(F.col("n_base_run"), F.col("tb")) - ratio(F.col("n_cur_run"), F.col("tc")))).alias("ks"))
 
 
 def chi_square(base: DataFrame, cur: DataFrame, col: str) -> DataFrame:

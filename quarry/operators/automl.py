@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import hash_number
+from quarry.functions.columns import hash_number, one_row
 from quarry.operators.regression import hash_split, mean_baseline, regression_metrics
 
 
 def infer_roles(df: DataFrame, limit: int) -> DataFrame:
     """column_name, n_distinct, role: constant, id (as many values as rows), time, numeric, categorical (at most limit values), text."""
-    counts = df.agg(F.count("*").alias("__n"), *[F.count_distinct(c).alias(c) for c in df.columns])
+    total = df.agg(F.count("*").alias("__n"))
+    value = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(df.columns)])).alias("x")
+    found = df.select(value).select("x.*").where("v IS NOT NULL").distinct().groupBy("i").count()  # one shuffle of the distinct values
+    counts = one_row(total).crossJoin(one_row(found.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("count"))), F.lit(0)).alias(c) for i, c in enumerate(df.columns)])))
     of = {f.name: f.dataType for f in df.schema}
     kind = lambda t: "time" if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "numeric" if isinstance(t, T.NumericType) else "text"
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_distinct"), F.lit(kind(of[c])).alias("kind")) for c in df.columns]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import one_row, ratio
+from quarry.functions.ordered import running
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, n: int) -> DataFrame:
@@ -32,18 +33,17 @@ def ecdf(df: DataFrame, col: str) -> DataFrame:
     """value, n, share of rows at or below it, at distinct values."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
     total = one_row(counts.agg(F.sum("n").alias("__t")))
-    run = counts.withColumn("__c", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.crossJoin(total).select("value", "n", ratio(F.col("__c"), F.col("__t")).alias("share"))
+    return running(counts, "value", ["n"]).crossJoin(total).select("value", "n", ratio(F.col("n_run"), F.col("__t")).alias("share"))
 
 
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     """cols as average ranks, from the counts at distinct values; rows with a null don't count."""
-    out = df.select(*cols).dropna()
+    base = out = df.select(*cols).dropna()
     for c in cols:
-        counts = out.groupBy(c).agg(F.count("*").alias("__n"))
-        ranked = counts.select(c, (F.sum("__n").over(Window.orderBy(c)) - (F.col("__n") - 1) / 2).alias("__r"))
-        out = out.join(ranked, c).drop(c).withColumnRenamed("__r", c)
-    return out
+        counts = base.groupBy(c).agg(F.count("*").alias("__n"))
+        ranked = running(counts, c, ["__n"]).select(c, (F.col("__n_run") - (F.col("__n") - 1) / 2).alias("__r"))
+        out = out.join(ranked.withColumnRenamed("__r", f"__r_{c}"), c)
+    return out.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
 
 
 def corr_matrix(df: DataFrame, cols: list[str], how: str = "pearson") -> DataFrame:

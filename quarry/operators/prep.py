@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_number, one_row, ratio
+from quarry.functions.ordered import quantiles
 
 
 def impute(train: DataFrame, df: DataFrame, cols: list[str], how: str) -> DataFrame:
@@ -20,15 +21,17 @@ def impute(train: DataFrame, df: DataFrame, cols: list[str], how: str) -> DataFr
 
 def winsorize(train: DataFrame, df: DataFrame, cols: list[str], low: float, high: float) -> DataFrame:
     """df with cols kept within training percentiles; nulls stay."""
-    stats = one_row(train.agg(*[F.percentile(c, F.lit(p)).alias(f"{c}__{n}") for c in cols for n, p in (("a", low), ("b", high))]))
+    out = df
+    for c in cols:
+        out = out.crossJoin(one_row(quantiles(train, c, [low, high]).select(F.col("q")[0].alias(f"{c}__a"), F.col("q")[1].alias(f"{c}__b"))))
     value = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"{c}__b")), F.col(f"{c}__a")))
-    return df.crossJoin(stats).withColumns({c: value(c) for c in cols}).drop(*[f"{c}__{n}" for c in cols for n in "ab"])
+    return out.withColumns({c: value(c) for c in cols}).drop(*[f"{c}__{n}" for c in cols for n in "ab"])
 
 
 def bucketize(train: DataFrame, df: DataFrame, col: str, n: int, how: str = "width") -> DataFrame:
     """Adds bucket, 0 to n-1, of equal width over the training range (outside values in the end buckets) or equal training count."""
     if how == "count":
-        cuts = one_row(train.agg(F.percentile(col, F.array(*[F.lit(k / n) for k in range(1, n)])).alias("__c")))
+        cuts = one_row(quantiles(train, col, [k / n for k in range(1, n)]).withColumnRenamed("q", "__c"))
         place = reduce(lambda a, b: a + b, [(F.col("__c")[k] < F.col(col)).cast("int") for k in range(n - 1)], F.lit(0))
         return df.crossJoin(cuts).withColumn("bucket", place).drop("__c")
     ends = one_row(train.agg(F.min(col).cast("double").alias("__a"), F.max(col).cast("double").alias("__b")))
@@ -37,10 +40,17 @@ def bucketize(train: DataFrame, df: DataFrame, col: str, n: int, how: str = "wid
 
 
 def one_hot(train: DataFrame, df: DataFrame, col: str, top: int) -> DataFrame:
-    """Adds a 0/1 column for each of the commonest training levels (ties by name) and <col>_other."""
+    """Adds a 0/1 column for each of the commonest training levels (ties by name) and <col>_other. Names that would clash get numbers."""
     levels = [r[0] for r in train.where(F.col(col).isNotNull()).groupBy(col).count().orderBy(F.col("count").desc(), col).limit(top).collect()]
-    name = lambda v: f"{col}_{''.join(ch if ch.isalnum() else '_' for ch in str(v))}"
-    known = {name(v): F.coalesce(F.col(col) == v, F.lit(False)).cast("int") for v in levels}
+    taken, known = {c.lower() for c in [*df.columns, f"{col}_other"]}, {}
+    for v in levels:
+        plain = name = f"{col}_{''.join(ch if ch.isalnum() else '_' for ch in str(v))}"
+        n = 1
+        while name.lower() in taken:  # levels that differ only in signs get numbers
+            n += 1
+            name = f"{plain}_{n}"
+        taken.add(name.lower())
+        known[name] = F.coalesce(F.col(col) == v, F.lit(False)).cast("int")
     return df.withColumns(known | {f"{col}_other": (~F.coalesce(F.col(col).isin(levels), F.lit(False))).cast("int")})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import money, one_row, ratio
+from quarry.functions.ordered import quantiles
 
 
 def rfm(df: DataFrame, cust: str, ts: str, amount: str, asof: str) -> DataFrame:
@@ -24,9 +25,11 @@ def rfm(df: DataFrame, cust: str, ts: str, amount: str, asof: str) -> DataFrame:
 def quantile_score(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
     """Adds <col>_score: 1 and the number of exact n-quantile cuts strictly below the value; ties share a score."""
     shares = [k / n for k in range(1, n)]
-    cuts = one_row(df.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(f"{c}__cuts") for c in cols]))
+    out = df
+    for c in cols:
+        out = out.crossJoin(one_row(quantiles(df, c, shares).select(F.col("q").alias(f"{c}__cuts"))))
     score = lambda c: reduce(lambda a, b: a + b, [(F.col(f"{c}__cuts")[k] < F.col(c)).cast("int") for k in range(n - 1)], F.lit(1))
-    return df.crossJoin(cuts).withColumns({f"{c}_score": score(c) for c in cols}).drop(*[f"{c}__cuts" for c in cols])
+    return out.withColumns({f"{c}_score": score(c) for c in cols}).drop(*[f"{c}__cuts" for c in cols])
 
 
 def label_segments(df: DataFrame, rules: list[tuple[str, str]], other: str = "other") -> DataFrame:
@@ -40,11 +43,16 @@ def standardize(df: DataFrame, cols: list[str], how: str = "z") -> DataFrame:
     made = {
         "z": lambda c: (F.avg(c), F.stddev_samp(c)),
         "minmax": lambda c: (F.min(c).cast("double"), (F.max(c) - F.min(c)).cast("double")),
-        "robust": lambda c: (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[how]
-    stats = one_row(df.agg(*[x.alias(f"{c}__{k}") for c in cols for k, x in zip("ab", made(c), strict=True)]))
+    }.get(how)
+    if made:
+        out = df.crossJoin(one_row(df.agg(*[x.alias(f"{c}__{k}") for c in cols for k, x in zip("ab", made(c), strict=True)])))
+    else:
+        out = df
+        for c in cols:
+            q = F.col("q")
+            out = out.crossJoin(one_row(quantiles(df, c, [0.25, 0.5, 0.75]).select(q[1].alias(f"{c}__a"), (q[2] - q[0]).alias(f"{c}__b"))))
     value = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(ratio(F.col(c) - F.col(f"{c}__a"), F.col(f"{c}__b")), F.lit(0.0)))
-    return df.crossJoin(stats).withColumns({f"{c}_std": value(c) for c in cols}).drop(*[f"{c}__{k}" for c in cols for k in "ab"])
+    return out.withColumns({f"{c}_std": value(c) for c in cols}).drop(*[f"{c}__{k}" for c in cols for k in "ab"])
 
 
 def assembled(cols: list[str]) -> VectorAssembler:
