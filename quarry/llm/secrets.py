@@ -9,8 +9,8 @@ that no base span covers; widely copied ones are counted, not added.
 
 Defined results: null and empty texts have no spans; spans count code points; equal values of one document count once
 for its owner; a null source is an owner of its own; repeated rows are reported each and count as one document, rows
-without doc_id as one each; only doc_id, text and source are
-read.
+without doc_id as one each; texts of any length are scanned whole; an empty table gives an empty result; only doc_id,
+text and source are read.
 """
 
 from __future__ import annotations
@@ -57,9 +57,13 @@ def found_in(text: str) -> list[tuple[int, int, int, str]]:
     out = [(m.start(), 0, m.end(), m[2]) for m in assign.finditer(text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end(), m[0]) for m in access.finditer(text)] if "AKIA" in text else []
     out += [(m.start(), 2, m.end(), m[0]) for m in hexes.finditer(text)]
-    base = sorted((a, b) for a, _, b, _ in out)
+    base, at = sorted((a, b) for a, _, b, _ in out), 0
+    furthest = 0  # end of the base spans that begin before the end of the mixed string
     for m in mixed.finditer(text):
-        if is_mixed(m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
+        while at < len(base) and base[at][0] < m.end():
+            furthest = max(furthest, base[at][1])
+            at += 1
+        if furthest <= m.start() and is_mixed(m[0]):
             out.append((m.start(), 3, m.end(), m[0]))
     return sorted(out)
 
