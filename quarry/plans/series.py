@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_number, money, rounded, uniform
@@ -95,7 +95,7 @@ def ts09_holt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def season(spark: SparkSession, d: str) -> DataFrame:
-    """The planted season (80 months), one series for each order priority in the table."""
+    """The planted season (80 months), one series for each order priority in the table; for tests."""
     keys = table(spark, d, "orders").select("o_orderpriority").distinct()
     i = F.col("period")
     y = 100 + 0.1 * i + 10 * F.sin(i * (2 * math.pi / 12)) + uniform(i, "s")
@@ -104,9 +104,13 @@ def season(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ts09b_holt_winters(spark: SparkSession, d: str) -> DataFrame:
-    """Holt-Winters, grid-fitted, against the planted season: errors of a backtest."""
+    """Holt-Winters, grid-fitted, on the monthly order sums: errors of a backtest."""
+    return holt_winters_errors(monthly(spark, d))
+
+
+def holt_winters_errors(df: DataFrame) -> DataFrame:
     grid = [(a, b, g) for a in (0.1, 0.3) for b in (0.01, 0.1) for g in (0.1, 0.3)]
-    tested = forecast.backtest(season(spark, d), lambda x, h, by: forecast.holt_winters(x, 12, grid, h, by).select(*by, "step", "yhat"), [56, 64], 12, BY)
+    tested = forecast.backtest(df, lambda x, h, by: forecast.holt_winters(x, 12, grid, h, by).select(*by, "step", "yhat"), [56, 64], 12, BY)
     return forecast.forecast_metrics(tested, [*BY, "cut"])
 
 
@@ -125,14 +129,22 @@ def ts11_acf(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ts12_lag_regression(spark: SparkSession, d: str) -> DataFrame:
-    """One-step errors on the planted season from month 60 on, of the regression and of the seasonal naive forecast."""
-    made = forecast.lag_regression(season(spark, d), [1, 12], BY, F.col("period") < 60).where("period >= 60")
+    """One-step errors of the monthly order sums in the last 18 months, of the regression and of the seasonal naive forecast."""
+    split = forecast.time_split(monthly(spark, d), "period", h=18, by=BY)
+    return lag_regression_errors(split, ~F.col("is_test"), F.col("is_test"))
+
+
+def lag_regression_errors(df: DataFrame, train: Column, test: Column) -> DataFrame:
+    made = forecast.lag_regression(df, [1, 12], BY, train).where(test)
     both = made.select(*BY, F.lit("regression").alias("model"), "y", "yhat").unionByName(made.select(*BY, F.lit("seasonal naive").alias("model"), "y", F.col("lag_12").alias("yhat")))
     return forecast.forecast_metrics(both, [*BY, "model"])
 
 
+CUTS = [48, 54, 60]
+
+
 def tested(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.backtest(counts(spark, d), lambda x, h, by: forecast.seasonal_naive(x, 12, h, by), [48, 54, 60], 12, [])
+    return forecast.backtest(counts(spark, d), lambda x, h, by: forecast.seasonal_naive(x, 12, h, by), CUTS, 12, [])
 
 
 B_SQL = M_SQL + ", k(cut) AS (VALUES (48), (54), (60)), b AS (SELECT k.cut::INT AS cut, (t.i - k.cut)::INT AS step, t.y, f.y AS yhat FROM k JOIN c t ON t.i > k.cut AND t.i <= k.cut + 12 JOIN c f ON f.i = t.i - 12)\n"
@@ -143,10 +155,11 @@ def ts13_backtest(spark: SparkSession, d: str) -> DataFrame:
     return tested(spark, d)
 
 
-@query(B_SQL + "SELECT cut, count(*) AS n, round(avg(abs(y - yhat)), 4) AS mae, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse, round(200 * avg(abs(y - yhat) / (abs(y) + abs(yhat))), 4) AS smape, round(avg(abs(y - yhat)) / (SELECT avg(abs(a.y - z.y)) FROM c a JOIN c z ON a.i = z.i + 12 WHERE a.i <= 48), 4) AS mase FROM b GROUP BY 1")
+@query(B_SQL + "SELECT cut, count(*) AS n, round(avg(abs(y - yhat)), 4) AS mae, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse, round(200 * avg(abs(y - yhat) / (abs(y) + abs(yhat))), 4) AS smape, round(avg(abs(y - yhat)) / (SELECT avg(abs(a.y - z.y)) FROM c a JOIN c z ON a.i = z.i + 12 WHERE a.i <= b.cut), 4) AS mase FROM b GROUP BY 1")
 def ts14_forecast_metrics(spark: SparkSession, d: str) -> DataFrame:
-    sample = counts(spark, d).orderBy("period").limit(48)
-    return rounded(forecast.forecast_metrics(tested(spark, d), ["cut"], forecast.seasonal_scale(sample, 12, [])))
+    placed = counts(spark, d).withColumn("i", F.row_number().over(Window.orderBy("period")))  # a row per month
+    samples = placed.withColumn("cut", F.explode(F.array(*map(F.lit, CUTS)))).where("i <= cut")
+    return rounded(forecast.forecast_metrics(tested(spark, d), ["cut"], forecast.seasonal_scale(samples, 12, ["cut"])))
 
 
 @query(B_SQL + ", f AS (SELECT (i - (SELECT max(i) FROM c) + 12)::INT AS step, y AS yhat FROM c WHERE i > (SELECT max(i) FROM c) - 12) SELECT step, f.yhat, round(f.yhat + quantile_cont(b.y - b.yhat, 0.1), 4) AS low, round(f.yhat + quantile_cont(b.y - b.yhat, 0.9), 4) AS high FROM f JOIN b USING (step) GROUP BY step, f.yhat")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import ordered
 from quarry.operators import anomaly, audit, automl, charts, corpus, forecast, prep, regression, rules, segments
 from quarry.plans import modelling, quality, series  # noqa: F401
 
@@ -122,9 +123,10 @@ def test_smoothing_by_hand(spark):
 
 
 def test_models_beat_the_seasonal_naive_forecast(spark):
-    for r in series.ts09b_holt_winters(spark, SF).collect():
+    planted = series.season(spark, SF)
+    for r in series.holt_winters_errors(planted).collect():
         assert r.mae < 1.0
-    got = {r.model: r.mae for r in series.ts12_lag_regression(spark, SF).collect()}
+    got = {r.model: r.mae for r in series.lag_regression_errors(planted, F.col("period") < 60, F.col("period") >= 60).collect()}
     assert got["regression"] < got["seasonal naive"]
 
 
@@ -177,3 +179,25 @@ def test_plans_stay_in_the_jvm(spark, name):
 
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_quantiles_and_running_sums_of_a_million_values(spark):
+    df = spark.range(0, 1_000_000, 1, 8).select((F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 3.0).alias("v"), (F.col("id") % 2).alias("k"))
+    for by in ([], ["k"]):
+        shares = [0.0, 0.1, 0.5, 0.937, 1.0]
+        want = df.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
+        got = ordered.quantiles(df, "v", shares, by)
+        for a, b in zip(got.orderBy(*by).collect(), want.orderBy(*by).collect(), strict=True):
+            assert list(a.q) == pytest.approx(list(b.q), rel=1e-12)
+    run = ordered.running(df.withColumn("n", F.lit(1)), "v", ["n"])
+    assert tuple(run.agg(F.max("n_run"), F.count_distinct("n_run")).first()) == (1_000_000, 1_000_000)
+    most = run.groupBy((F.col("n_run") / 100_000).cast("int")).count().agg(F.max("count")).first()[0]
+    assert most <= 100_000
+    back = ordered.running(df.withColumn("n", F.lit(1)), "v", ["n"], descending=True).orderBy("v").select("n_run").first()[0]
+    assert back == 1_000_000
+
+
+def test_levels_that_differ_in_signs_have_columns_of_their_own(spark):
+    df = spark.createDataFrame([("A-B",), ("A_B",), ("a b",), (None,)], "k string")
+    got = prep.one_hot(df, df, "k", 5).collect()
+    assert [sum(v for c, v in r.asDict().items() if c != "k" and c != "k_other") for r in got] == [1, 1, 1, 0] and len(got[0]) == 5
