@@ -187,7 +187,7 @@ def test_quantiles_and_running_sums_of_a_million_values(spark):
         shares = [0.0, 0.1, 0.5, 0.937, 1.0]
         want = df.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
         got = ordered.quantiles(df, "v", shares, by)
-        for a, b in zip(got.orderBy(*by).collect(), want.orderBy(*by).collect(), strict=True):
+        for a, b in zip(got.orderBy(*(by or ["q"])).collect(), want.orderBy(*(by or ["q"])).collect(), strict=True):
             assert list(a.q) == pytest.approx(list(b.q), rel=1e-12)
     run = ordered.running(df.withColumn("n", F.lit(1)), "v", ["n"])
     assert tuple(run.agg(F.max("n_run"), F.count_distinct("n_run")).first()) == (1_000_000, 1_000_000)
