@@ -39,6 +39,18 @@ def auto_prep(df: DataFrame, roles: DataFrame, label: str) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[f"{c}_filled" for c in numbers] + [f"{c}_hot" for c in kinds], outputCol="features")])
 
 
+def settings(estimator, grid: dict) -> list[dict]:
+    """All combinations of a candidate's parameters."""
+    maps = ParamGridBuilder()
+    for p, values in grid.items():
+        maps = maps.addGrid(estimator.getParam(p), values)
+    return maps.build()
+
+
+def named(params: dict) -> str:
+    return str({p.name: v for p, v in params.items()})
+
+
 def cross_validate(df: DataFrame, y: str, key: str, candidates: dict, k: int, features: list[str], by: list[str]) -> DataFrame:
     """model, params, mean_rmse, sd_rmse over k folds fixed by the key. candidates: name -> (estimator, {param: values}).
 
@@ -47,11 +59,8 @@ def cross_validate(df: DataFrame, y: str, key: str, candidates: dict, k: int, fe
     folds = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(hash_split(df, key, k)).cache()
     rows = []
     for name, (estimator, grid) in candidates.items():
-        maps = ParamGridBuilder()
-        for p, values in grid.items():
-            maps = maps.addGrid(estimator.getParam(p), values)
-        made = CrossValidator(estimator=estimator.copy({estimator.labelCol: y}), estimatorParamMaps=maps.build(), evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"), numFolds=k, foldCol="fold").fit(folds)
-        rows += [(name, str({p.name: v for p, v in m.items()}), float(a), float(s)) for m, a, s in zip(made.getEstimatorParamMaps(), made.avgMetrics, made.stdMetrics, strict=True)]
+        made = CrossValidator(estimator=estimator.copy({estimator.labelCol: y}), estimatorParamMaps=settings(estimator, grid), evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"), numFolds=k, foldCol="fold").fit(folds)
+        rows += [(name, named(m), float(a), float(s)) for m, a, s in zip(made.getEstimatorParamMaps(), made.avgMetrics, made.stdMetrics, strict=True)]
     scores = [regression_metrics(mean_baseline(folds.where(F.col("fold") != f), folds.where(F.col("fold") == f), by, y), y, "yhat").first()["rmse"] for f in range(k)]
     mean = sum(scores) / k
     rows.append(("group mean", "{}", mean, (sum((s - mean) ** 2 for s in scores) / k) ** 0.5))
@@ -59,9 +68,21 @@ def cross_validate(df: DataFrame, y: str, key: str, candidates: dict, k: int, fe
     return df.sparkSession.createDataFrame(rows, "model string, params string, mean_rmse double, sd_rmse double")
 
 
-def leaderboard(results: DataFrame) -> DataFrame:
-    """results with place, by mean_rmse. There is a row per candidate, so one task orders them."""
-    return results.withColumn("place", F.rank().over(Window.orderBy("mean_rmse")))
+def holdout_scores(train: DataFrame, test: DataFrame, y: str, candidates: dict, features: list[str], by: list[str]) -> DataFrame:
+    """model, params, holdout_rmse of the candidates and of the group-mean baseline, fitted on train and scored on test."""
+    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    known, unseen = (ready.transform(df).cache() for df in (train, test))
+    rmse = lambda scored, yhat: float(regression_metrics(scored, y, yhat).first()["rmse"])
+    rows = [(name, named(m), rmse(estimator.copy({estimator.labelCol: y} | m).fit(known).transform(unseen), "prediction")) for name, (estimator, grid) in candidates.items() for m in settings(estimator, grid)]
+    rows.append(("group mean", "{}", rmse(mean_baseline(known, unseen, by, y), "yhat")))
+    known.unpersist()
+    unseen.unpersist()
+    return train.sparkSession.createDataFrame(rows, "model string, params string, holdout_rmse double")
+
+
+def leaderboard(results: DataFrame, holdout: DataFrame) -> DataFrame:
+    """results (cross_validate) with holdout_rmse (holdout_scores), which takes no part in the order, and place by mean_rmse. There is a row per candidate, so one task orders them."""
+    return results.join(holdout, ["model", "params"], "left").withColumn("place", F.rank().over(Window.orderBy("mean_rmse")))
 
 
 def score_predictions(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat") -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import ratio
-from quarry.operators.regression import linear_fit
+from quarry.operators.regression import calendar_columns, linear_fit
+
+#: Calendar features that stand for kinds, with their values but for the first.
+KINDS = {"month": range(2, 13), "day_of_week": range(2, 8), "hour": range(1, 24)}
 
 
 def in_order(by: list[str], ts: str):
@@ -157,12 +160,20 @@ def acf(df: DataFrame, most: int, by: list[str], ts: str = "period", y: str = "y
     return sums.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ratio(F.col(f"__{k}"), F.col("__v")).alias("acf")) for k in range(1, most + 1)])).alias("x")).select(*by, "x.*")
 
 
-def lag_regression(df: DataFrame, ks: list[int], by: list[str], train: Column, ts: str = "period", y: str = "y", reg: float = 0.0) -> DataFrame:
-    """df with lags and yhat of a linear fit on lags, fitted where `train` holds; rows without all lags have no yhat."""
+def lag_regression(df: DataFrame, ks: list[int], by: list[str], train: Column, ts: str = "period", y: str = "y", reg: float = 0.0, calendar: tuple[str, ...] = ()) -> DataFrame:
+    """df with lags and yhat of a linear fit on lags and calendar features of ts, fitted where `train` holds; rows without all lags are left out.
+
+    calendar: names of calendar_features; month, day_of_week and hour count as kinds, a 0/1 column for each value but the first.
+    """
     made = lags(df, y, ks, by, ts)
     ready = made.dropna(subset=[f"lag_{k}" for k in ks])
-    fitted = linear_fit(ready.where(train).dropna(subset=[y]), [f"lag_{k}" for k in ks], y, reg)
-    return fitted.transform(ready).withColumnRenamed("prediction", "yhat").drop("features")
+    own = {}
+    for c in calendar:
+        value = calendar_columns(ts)[c]
+        own |= {f"__{c}_{k}": (value == k).cast("double") for k in KINDS[c]} if c in KINDS else {f"__{c}": value.cast("double")}
+    ready = ready.withColumns(own)
+    fitted = linear_fit(ready.where(train).dropna(subset=[y]), [*(f"lag_{k}" for k in ks), *own], y, reg)
+    return fitted.transform(ready).withColumnRenamed("prediction", "yhat").drop("features", *own)
 
 
 def backtest(df: DataFrame, forecaster: Callable[[DataFrame, int, list[str]], DataFrame], cuts: list[int], h: int, by: list[str], ts: str = "period", y: str = "y") -> DataFrame:

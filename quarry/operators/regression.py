@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_number, one_row, ratio
 
 
-def calendar_features(df: DataFrame, ts: str) -> DataFrame:
-    """Adds year, month, day_of_week (1 is Monday), hour, is_weekend."""
+def calendar_columns(ts: str) -> dict[str, Column]:
+    """year, month, day_of_week (1 is Monday), hour, is_weekend of a time."""
     day = F.weekday(ts) + 1
-    return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day_of_week": day, "hour": F.hour(ts), "is_weekend": day >= 6})
+    return {"year": F.year(ts), "month": F.month(ts), "day_of_week": day, "hour": F.hour(ts), "is_weekend": day >= 6}
+
+
+def calendar_features(df: DataFrame, ts: str) -> DataFrame:
+    """Adds the columns of calendar_columns."""
+    return df.withColumns(calendar_columns(ts))
 
 
 def duration(df: DataFrame, start: str, end: str, unit: str = "day") -> DataFrame:

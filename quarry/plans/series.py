@@ -131,11 +131,11 @@ def ts11_acf(spark: SparkSession, d: str) -> DataFrame:
 def ts12_lag_regression(spark: SparkSession, d: str) -> DataFrame:
     """One-step errors of the monthly order sums in the last 18 months, of the regression and of the seasonal naive forecast."""
     split = forecast.time_split(monthly(spark, d), "period", h=18, by=BY)
-    return lag_regression_errors(split, ~F.col("is_test"), F.col("is_test"))
+    return lag_regression_errors(split, ~F.col("is_test"), F.col("is_test"), ("year", "month"))
 
 
-def lag_regression_errors(df: DataFrame, train: Column, test: Column) -> DataFrame:
-    made = forecast.lag_regression(df, [1, 12], BY, train).where(test)
+def lag_regression_errors(df: DataFrame, train: Column, test: Column, calendar: tuple[str, ...] = ()) -> DataFrame:
+    made = forecast.lag_regression(df, [1, 12], BY, train, calendar=calendar).where(test)
     both = made.select(*BY, F.lit("regression").alias("model"), "y", "yhat").unionByName(made.select(*BY, F.lit("seasonal naive").alias("model"), "y", F.col("lag_12").alias("yhat")))
     return forecast.forecast_metrics(both, [*BY, "model"])
 

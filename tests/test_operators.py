@@ -90,6 +90,7 @@ def test_auc_of_ties_is_half(spark):
 def test_baseline_ranks_last_on_planted_data(spark):
     got = modelling.am04_leaderboard(spark, SF).orderBy("place").collect()
     assert got[-1]["model"] == "group mean" and got[0]["model"] == "linear"
+    assert got[0]["holdout_rmse"] < 1 and max(got, key=lambda r: r.holdout_rmse).model == "group mean"
 
 
 def test_ensemble_is_no_worse_than_the_best(spark):
@@ -128,6 +129,18 @@ def test_models_beat_the_seasonal_naive_forecast(spark):
         assert r.mae < 1.0
     got = {r.model: r.mae for r in series.lag_regression_errors(planted, F.col("period") < 60, F.col("period") >= 60).collect()}
     assert got["regression"] < got["seasonal naive"]
+    dated = planted.withColumn("period", F.add_months(F.lit("2000-01-01").cast("date"), F.col("period")))
+    with_months = {r.model: r.mae for r in series.lag_regression_errors(dated, F.col("period") < "2005-01-01", F.col("period") >= "2005-01-01", ("year", "month")).collect()}
+    assert with_months["regression"] < got["seasonal naive"]
+
+
+def test_calendar_of_a_lag_regression_tells_months(spark):
+    """Values that only the month fixes: lag 1 alone can't give them, months do; columns that clash stay."""
+    value = F.pmod(F.month("period") * 7, F.lit(5)).cast("double")
+    df = spark.range(60).select(F.add_months(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("period"), F.lit("x").alias("month")).withColumn("y", value)
+    made = forecast.lag_regression(df, [1], [], F.col("period") < "2003-01-01", calendar=("month", "is_weekend"))
+    assert made.columns == ["period", "month", "y", "lag_1", "diff_1", "yhat"]
+    assert made.count() == 59 and made.agg(F.max(F.abs(F.col("y") - F.col("yhat")))).first()[0] < 1e-6
 
 
 def test_checks_count_nulls_as_bad(spark):
