@@ -86,7 +86,8 @@ def as_words(digests: pa.ChunkedArray) -> np.ndarray:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, row (its number), digest (SHA-256 of the text without white space), points (code points of the text)."""
-    t = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), row_number().alias("row"))
+    docs = steady(docs)
+    t = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), row_number(docs).alias("row"))
     return t.select("doc_id", "row", F.unhex(F.sha2(F.translate("text", SPACES, ""), 256)).alias("digest"), F.length("text").cast("long").alias("points"))
 
 

@@ -104,7 +104,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "row_hash": batch.column("row_hash"), "digest": digest, "n": pa.array([len(x) for x in found], pa.int32()), "counts": pa.array([class_counts(x) if len(x) else None for x in found], pa.binary()), "prefix": lists})
 
-    return texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"), row_number().alias("row")).mapInArrow(run, "doc_id long, row long, row_hash long, digest long, n int, counts binary, prefix array<long>")
+    docs = steady(docs)
+    return texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row_hash"), row_number(docs).alias("row")).mapInArrow(run, "doc_id long, row long, row_hash long, digest long, n int, counts binary, prefix array<long>")
 
 
 def pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, pos: np.ndarray, component: np.ndarray | None, steps: range) -> tuple[np.ndarray, np.ndarray]:

@@ -83,9 +83,15 @@ grams AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ')
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
 m AS (SELECT DISTINCT doc_id, item_id, k, i FROM grams JOIN win USING (k, t)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
+p AS (SELECT item_id::VARCHAR AS item, least(len(w), 10) AS k, unnest(w) AS word, unnest(range(len(w))) AS off FROM b WHERE len(w) > 0),
+q AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+s AS (SELECT DISTINCT doc_id, item, k, off, pos - off + e AS shift FROM q JOIN p USING (word), range(-3, 4) r(e)),
+z AS (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item, k, off, lead(off, (k - k // 5 - 1)::INT) OVER (PARTITION BY doc_id, item, shift ORDER BY off) AS last FROM s) WHERE last - off < k),
+near AS (SELECT doc_id, count(*) AS n_near_items, string_agg(item, ',' ORDER BY item) AS near_items FROM z ANTI JOIN (SELECT doc_id, item_id::VARCHAR AS item FROM m) USING (doc_id, item) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+coalesce(n_near_items, 0) AS n_near_items, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 NEAREST = """a{n} AS (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k, c{n}) GROUP BY r, vec_id)"""

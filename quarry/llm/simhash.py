@@ -93,7 +93,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             found = [fingerprints_of(group, words) for group in grouped_texts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fp": pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))})
 
-    return texts(docs, row_number().alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
+    docs = steady(docs)
+    return texts(docs, row_number(docs).alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def forest(fps: np.ndarray, ids: np.ndarray, chain: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

@@ -75,7 +75,7 @@ def contexts_of(raw: bytes, length: int = LENGTH, gram: int = GRAM, short: int =
 
 def keyed(docs: DataFrame) -> DataFrame:
     """row (its number), doc_id and raw (the bytes of the text)."""
-    return docs.select(row_number().alias("row"), "doc_id", F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8").alias("raw"))
+    return docs.select(row_number(docs).alias("row"), "doc_id", F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8").alias("raw"))
 
 
 def segments(rows: DataFrame, length: int, gram: int, short: int) -> DataFrame:

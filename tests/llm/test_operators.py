@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe, components, decontamination, exact_dedup, language, near_copies, secrets, simhash, substring_dedup, token_counts, token_store, toxicity
-from quarry.llm.common import new_path
+from quarry.llm.common import new_path, row_number, steady, without_rows, written
 from quarry.llm.vocabulary import Ids, vocabulary
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -241,6 +241,54 @@ def test_one_row_of_each_component_stays(spark):
         assert got == sorted([(False, 1, False, long), (False, 2, False, "other text"), *empty], key=str)
 
 
+@pytest.fixture()
+def resplit(spark):
+    """Sets how many parts a scan of small files is cut into, as the number of registered cores does."""
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    yield lambda n: spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+
+
+def copied_files(spark):
+    """A table of three files of which one in five rows is a copy."""
+    path = new_path(spark, "copied")
+    texts_ = [f"text {i % 40} " * 30 for i in range(50)]
+    table(spark, texts_).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_rows_keep_their_numbers_when_the_split_changes(spark, resplit):
+    docs = copied_files(spark)
+    resplit(4)
+    before = {(r.doc_id, r.row) for r in docs.select("doc_id", row_number(docs).alias("row")).collect()}
+    gone = written(docs.where("doc_id % 3 = 0").select(row_number(docs).alias("row")), "gone")
+    resplit(1)
+    again = spark.read.parquet(*docs.inputFiles())
+    assert before == {(r.doc_id, r.row) for r in again.select("doc_id", row_number(again).alias("row")).collect()} and len({r for _, r in before}) == 50
+    resplit(2)
+    assert {r.doc_id for r in without_rows(docs, gone).collect()} == {i for i in range(50) if i % 3}
+
+
+def test_operators_survive_a_changed_split(spark, resplit):
+    docs = copied_files(spark)
+    resplit(4)
+    dedup, cut = exact_dedup.without_copies(docs, F.lit(False)), substring_dedup.without_repeats(docs, 60, 8)
+    near = simhash.one_of_each(docs)
+    resplit(1)
+    assert dedup.count() == 40 and {r.doc_id for r in cut.where("n_removed > 0").collect()} and near.count() <= 40
+    want = {r.doc_id: r.kept for r in substring_dedup.without_repeats(docs, 60, 8).collect()}
+    resplit(3)
+    assert {r.doc_id: r.kept for r in cut.collect()} == want
+
+
+def test_only_plain_files_are_read_twice(spark):
+    docs = copied_files(spark)
+    same = lambda df: steady(df).inputFiles() == docs.inputFiles()
+    assert same(docs) and same(docs.where("doc_id > 3").select("doc_id", "text"))
+    for other in (docs.where(F.rand(1) < 0.5), docs.withColumn("x", F.rand(1)), docs.repartition(3), docs.distinct(), docs.union(docs), spark.createDataFrame(docs.repartition(2).rdd, docs.schema), docs.limit(9)):
+        assert not same(other)
+
+
 def test_rows_have_the_same_numbers_after_any_plan(spark):
     docs = table(spark, [f"t {i % 10}" for i in range(200)]).repartition(5).groupBy("text").agg(F.first("doc_id").alias("doc_id"))
     assert len(exact_dedup.without_copies(docs.union(docs), F.lit(False)).collect()) == 10
@@ -394,30 +442,50 @@ def test_decontamination_by_brute_force(spark):
 
 
 def near_by_brute_force(texts, items):
-    """Per text: ids of items that have proximity matches and no exact one."""
+    """Per text: ids of items that have proximity matches and no exact one: every window at every start, by the rule alone."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    docs, count = [words(t) for t in texts], Counter()
-    for d in docs:
-        count.update(d)
     out = []
-    for d in docs:
+    for d in map(words, texts):
         exact, near = set(), set()
+        places = defaultdict(list)
+        for p, y in enumerate(d):
+            places[y].append(p)
         for k, x in items:
             v = words(x)
             n = min(10, len(v))
             for w in {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else ():
-                order = sorted(range(n), key=lambda i: (count[w[i]], i))
-                away = lambda i, s, w=w: min((abs(p - s - i) for p, y in enumerate(d) if y == w[i]), default=99)
-                for s in {p - order[0] for p, y in enumerate(d) if y == w[order[0]]} if count[w[order[0]]] else ():
-                    far = [away(i, s) for i in order]
-                    if max(far) == 0:
+                for s in {p - i + more for i, y in enumerate(w) for p in places[y] for more in range(-3, 4)}:
+                    away = [min((abs(p - s - i) for p in places[y]), default=99) for i, y in enumerate(w)]
+                    if max(away) == 0:
                         exact.add(str(k))
-                    elif n > 1 and far[1] <= 3 and 10 * sum(f <= 3 for f in far) >= 8 * n:
+                    elif 10 * sum(a <= 3 for a in away) >= 8 * n:
                         near.add(str(k))
         out.append(",".join(sorted(near - exact)))
     return out
 
 
+@pytest.mark.parametrize("changed", [1, 2])
+def test_changed_words_lose_no_proximity_match(spark, changed):
+    """Windows of the benchmark's own items with one or two words misspelt, the rarest ones too, among the documents."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    r, planted = random.Random(changed), []
+    for _, x in items:
+        w = x.split()
+        if len(w) >= 10:
+            s = r.randrange(len(w) - 9)
+            part = w[s : s + 10]
+            for i in r.sample(range(10), changed):
+                part[i] = "zz" + part[i]
+            planted.append("before it " + " ".join(part) + " and after")
+    docs = [x.text for x in real(spark).collect()]
+    got = by_id(decontamination.decontaminate(table(spark, [*planted, *docs]), bench))
+    want = near_by_brute_force(planted, items)
+    assert len(planted) >= 5 and all(want) and [got[i].near_items for i in range(len(planted))] == want
+    some = r.sample(range(len(planted), len(planted) + len(docs)), 25)
+    assert [got[i].near_items for i in some] == near_by_brute_force([docs[i - len(planted)] for i in some], items)
+
+
 def test_proximity_matches_by_brute_force(spark):
     r = random.Random(6)
     common = [f"c{i}" for i in range(8)]
