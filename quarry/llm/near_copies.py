@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SENT_ROWS, row_number, steady, texts, without_rows, written
+from quarry.llm.common import SENT_ROWS, drop_path, row_number, steady, texts, without_rows, written
 from quarry.llm.components import components
 from quarry.llm.simhash import first_rows, runs, shingle_hashes
 
@@ -35,6 +35,8 @@ PART, WHOLE = 4, 5
 SAMPLE, FREQUENT, SENT = 20_000, 3, 500_000
 #: With how many of the next sets of an element a set is paired in the first round.
 NEXT = 8
+#: About how many sets of a shingle a block of the second round has; how many steps it takes before it gives out what it found.
+BLOCK, STEPS = 2000, 256
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -150,20 +152,36 @@ def first_round(postings: DataFrame) -> DataFrame:
 
 
 def second_round(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b of candidates in different components. postings: key, a, n, pos; roots: id, component."""
+    """a, b of candidates in different components. postings: key, a, n, pos; roots: id, component.
+
+    Only keys whose sets are in several components go on. Their sets are cut into bands of sizes, two of which can hold
+    similar sets if they are neighbours; a band pair of very many sets is cut further into blocks by hash, and each two
+    blocks are a task's key of their own. So no task gets a whole frequent shingle, and no pair is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches):
-            key, digest, n, pos, component = (table[c].to_numpy() for c in ("key", "a", "n", "pos", "component"))
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.append(first, len(key)))
-            mixed = np.repeat(np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first), sizes)
-            key, digest, n, pos, component = (x[mixed] for x in (key, digest, n.astype(np.int64), pos.astype(np.int64), component))
-            i, j = pairs(key, digest, n, pos, component, range(1, len(key)))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(digest[i], digest[j])), "b": pa.array(np.maximum(digest[i], digest[j]))})
-
-    known = postings.join(roots.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    return known.repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(run, "a long, b long")
+            key, digest, n, pos, component, side = (table[c].to_numpy() for c in ("key", "a", "n", "pos", "component", "side"))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            for at in range(1, len(key), STEPS):
+                i, j = pairs(key, digest, n, pos, component, range(at, min(at + STEPS, len(key))))
+                apart = side[i] * side[j] <= 0  # sets of one block meet where it is with itself
+                i, j = i[apart], j[apart]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(digest[i], digest[j])), "b": pa.array(np.maximum(digest[i], digest[j]))})
+                last = at + STEPS
+                if last >= len(key) or not (key[last:] == key[:-last]).any():
+                    break
+
+    known = written(postings.join(roots.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")), "known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    band = F.floor(F.log("n") / float(np.log(WHOLE / PART)) + 1e-9)
+    banded = known.join(mixed, "key", "left_semi").withColumn("band", F.explode(F.array(band, band - 1)))
+    sizes = banded.groupBy("key", "band").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    dealt = banded.join(sizes, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(-1)
+    cell = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(cell.alias("key"), "a", "n", "pos", "component", side.cast("int").alias("side")).repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(run, "a long, b long")
 
 
 def checked(candidates: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -205,8 +223,10 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame:
     more = first.where("b IS NULL").select("key", "a", "n", "pos")
     roots = written(components(links), "roots")
     if more.isEmpty():
+        drop_path(docs.sparkSession, first)
         return roots
     again = written(second_round(more, roots).distinct(), "candidates")
+    drop_path(docs.sparkSession, first)
     if again.isEmpty():
         return roots
     return components(links.union(written(checked(again, rows, docs), "links")))

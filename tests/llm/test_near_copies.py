@@ -40,8 +40,9 @@ def edited(r, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("sample", "following"), [(20_000, 8), (20_000, 1), (1, 1)])
-def test_near_copies_by_brute_force(spark, monkeypatch, sample, following):
+@pytest.mark.parametrize(("sample", "following", "block"), [(20_000, 8, 2000), (20_000, 1, 4), (1, 1, 2000)])
+def test_near_copies_by_brute_force(spark, monkeypatch, sample, following, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     monkeypatch.setattr(near_copies, "SAMPLE", sample)
     monkeypatch.setattr(near_copies, "NEXT", following)
     r = random.Random(3)
