@@ -32,15 +32,23 @@ def money(c: str | Column) -> Column:
     return col(c).cast("decimal(18,2)")
 
 
-def rounded(df: DataFrame, places: int = 4, nudge: float = 0.0) -> DataFrame:
-    """Doubles rounded, as two engines sum them in different orders; minus zero as zero. nudge: added first, so that means of cents don't lie on a half."""
-    return df.select(*[(F.round(F.col(f"`{c}`") + F.lit(nudge), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles rounded, as two engines sum them in different orders; minus zero as zero."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def with_stats(df: DataFrame, stats: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """df with its group's row of stats; a null key is a group like any other. Spark plans the join by the size of stats."""
+    if not by:
+        return df.crossJoin(one_row(stats))
+    own = stats.withColumnsRenamed({c: f"__on_{c}" for c in by})
+    return df.join(own, all_of([df[c].eqNullSafe(own[f"__on_{c}"]) for c in by]), how).drop(*[f"__on_{c}" for c in by])
+
+
 def one_row(df: DataFrame) -> DataFrame:
     """Marks a table of statistics, which has one row, for broadcast."""
     return F.broadcast(df)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import all_of, one_row, ratio
-from quarry.functions.ordered import quantiles_of_counts, running
+from quarry.functions.ordered import BLOCK, back, blocked, quantiles_of_counts, running
+from quarry.functions.sketches import quantiles_of, rank_error, ranks_of
 
 CHECK = ("check_name", "column_name", "n_rows", "n_bad", "pass")
 
@@ -35,11 +36,13 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     out = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{n}").alias(n) for n in made]) for c in cols])).alias("x")).select("x.*")
     if not exact:
         return out
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*").where("v IS NOT NULL")
-    counts = long.groupBy("column_name", "v").agg(F.count("*").alias("__n"))
+    # values are told apart as text, which is exact for all of a long or decimal, and put in order as doubles
+    exactly = lambda c: F.when(F.col(c).isNotNull(), (F.col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType) else F.col(c)).cast("string"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"), exactly(c).alias("x")) for c in cols])).alias("x")).select("x.*").where("v IS NOT NULL")
+    counts = long.groupBy("column_name", "v", "x").agg(F.count("*").alias("__n"))
     distinct = counts.groupBy("column_name").agg(F.count("*").alias("n_distinct"))
-    cuts = quantiles_of_counts(counts, "v", "__n", [0.25, 0.5, 0.75], ["column_name"])
-    return out.join(F.broadcast(distinct), "column_name", "left").join(F.broadcast(cuts), "column_name", "left").select("column_name", "n", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "low", "high", "mean", "deviation", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "kurtosis")
+    cuts = quantiles_of_counts(counts, ["v", "x"], "__n", [0.25, 0.5, 0.75], ["column_name"])
+    return out.join(distinct, "column_name", "left").join(cuts, "column_name", "left").select("column_name", "n", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "low", "high", "mean", "deviation", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "kurtosis")
 
 
 def completeness(df: DataFrame, cols: list[str], least: float = 1.0) -> DataFrame:
@@ -88,11 +91,26 @@ def schema_check(df: DataFrame, expected: T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, problem string")
 
 
-def freshness(df: DataFrame, ts: str, by: list[str], asof: str) -> DataFrame:
-    """by, age_seconds of the latest row at asof, longest_gap_seconds between neighbours."""
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(Window.partitionBy(*by).orderBy(ts)).cast("timestamp"))
-    age = F.unix_micros(F.lit(asof).cast("timestamp")) - F.unix_micros(F.max(ts).cast("timestamp"))
-    return df.withColumn("__g", gap).groupBy(*by).agg((age / 1e6).alias("age_seconds"), (F.max("__g") / 1e6).alias("longest_gap_seconds"))
+def schema_fit(df: DataFrame, expected: T.StructType) -> DataFrame:
+    """schema_check with n_rows, and n_unfit: rows whose value changes or fails when read as the contract's type (all rows of a missing column)."""
+    bad = []
+    for r in schema_check(df, expected).collect():  # a row per differing column
+        c, problem = r["column_name"], r["problem"]
+        kept = F.col(c).isNull() | F.col(c).try_cast(expected[c].dataType).try_cast(df.schema[c].dataType).eqNullSafe(F.col(c)) if problem == "type" else F.lit(problem == "extra")
+        bad.append((c, problem, kept))
+    sums = df.agg(F.count("*").alias("n"), *[F.count_if(~kept).alias(f"b{i}") for i, (_, _, kept) in enumerate(bad)])
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(problem).alias("problem"), F.col("n").alias("n_rows"), F.col(f"b{i}").alias("n_unfit")) for i, (c, problem, _) in enumerate(bad)])
+    none = "array<struct<column_name:string,problem:string,n_rows:bigint,n_unfit:bigint>>"
+    return sums.select(F.explode(each if bad else F.array().cast(none)).alias("x")).select("x.*")
+
+
+def freshness(df: DataFrame, ts: str, by: list[str], asof: str, block: int = BLOCK) -> DataFrame:
+    """by, age_seconds of the latest row at asof, longest_gap_seconds between neighbours. Long groups are cut into blocks."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows, keys, own = blocked(df.select(*by, ts).where(F.col(ts).isNotNull()), ts, 1, by, block)
+    gap = micros(F.col(ts)) - micros(F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts)))
+    age = micros(F.lit(asof)) - micros(F.max(ts))
+    return back(rows.withColumn("__g", gap), own).groupBy(*by).agg((age / 1e6).alias("age_seconds"), (F.max("__g") / 1e6).alias("longest_gap_seconds"))
 
 
 def counted(base: DataFrame, cur: DataFrame, value: Column) -> DataFrame:
@@ -113,11 +131,25 @@ def psi(base: DataFrame, cur: DataFrame, col: str, bins: list[float]) -> DataFra
 
 
 def ks(base: DataFrame, cur: DataFrame, col: str) -> DataFrame:
-    """Largest distance of the two distributions, from the counts at distinct values."""
-    counts = counted(base, cur, F.col(col))
-    total = one_row(counts.agg(F.sum("n_base").alias("tb"), F.sum("n_cur").alias("tc")))
-    run = running(counts, "v", ["n_base", "n_cur"]).crossJoin(total)
-    return run.agg(F.max(F.abs(ratio(F.col("n_base_run"), F.col("tb")) - ratio(F.col("n_cur_run"), F.col("tc")))).alias("ks"))
+    """Largest distance of the two distributions, from the counts at distinct values of any sortable type."""
+    run = running(counted(base, cur, F.col(col)), "v", ["n_base", "n_cur"], totals=True)
+    return run.agg(F.max(F.abs(ratio(F.col("n_base_run"), F.col("n_base_all")) - ratio(F.col("n_cur_run"), F.col("n_cur_all")))).alias("ks"))
+
+
+def ks_sketched(base: DataFrame, cur: DataFrame, col: str, k: int = 4000, points: int = 500) -> DataFrame:
+    """ks, error: the same from one KLL sketch per table, in one pass over each and without a shuffle of values.
+
+    Distances are taken at `points` evenly spaced quantiles of each table; error is the bound by both sketches'
+    rank_error and the step between two quantiles.
+    """
+    session, value = base.sparkSession, F.col(col).cast("double")
+    a, b = (df.agg(F.count(value), F.kll_sketch_agg_double(value, F.lit(k))).first() for df in (base, cur))
+    found = None
+    if a[0] and b[0]:
+        shares = [i / points for i in range(points + 1)]
+        values = quantiles_of(session, a[1], shares) + quantiles_of(session, b[1], shares)
+        found = max(abs(x - y) for x, y in zip(ranks_of(session, a[1], values), ranks_of(session, b[1], values), strict=True))
+    return session.createDataFrame([(found, 2 * rank_error(k) + 1.0 / points)], "ks double, error double")
 
 
 def chi_square(base: DataFrame, cur: DataFrame, col: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -10,8 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import hash_number, one_row
+from quarry.functions.columns import one_row
+from quarry.functions.ordered import positions
 from quarry.operators.regression import hash_split, mean_baseline, regression_metrics
+from quarry.sources.shared import written
 
 
 def infer_roles(df: DataFrame, limit: int) -> DataFrame:
@@ -68,6 +74,52 @@ def cross_validate(df: DataFrame, y: str, key: str, candidates: dict, k: int, fe
     return df.sparkSession.createDataFrame(rows, "model string, params string, mean_rmse double, sd_rmse double")
 
 
+def fold_sums(df: DataFrame, y: str, xs: list[str], fold: str) -> dict[int, np.ndarray]:
+    """The matrix of sums of products of (1, xs, y) over each fold's rows without nulls, in one pass."""
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
+    places = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    got = df.dropna(subset=[*xs, y]).groupBy(fold).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{n}") for n, (i, j) in enumerate(places)]).collect()
+    out = {}
+    for r in got:
+        m = np.zeros((len(cols), len(cols)))
+        for n, (i, j) in enumerate(places):
+            m[i, j] = m[j, i] = r[f"s{n}"]
+        out[r[fold]] = m
+    return out
+
+
+def ridge(sums: np.ndarray, reg: float) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of least squares from sums of products, with a penalty reg as LinearRegression scales it (on standardised columns)."""
+    n = sums[0, 0]
+    mean = sums[0, 1:] / n
+    covariance = sums[1:, 1:] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(covariance), 0))
+    used = np.flatnonzero(spread[:-1] > 0)
+    beta = np.zeros(len(mean) - 1)
+    if len(used) and spread[-1] > 0:
+        beta[used] = np.linalg.lstsq(covariance[np.ix_(used, used)] + np.diag(reg / spread[-1] * spread[used] ** 2), covariance[used, -1], rcond=None)[0]
+    return beta, float(mean[-1] - beta @ mean[:-1])
+
+
+def linear_cross_validate(df: DataFrame, y: str, xs: list[str], key: str, regs: list[float], k: int) -> DataFrame:
+    """model, params, mean_rmse, sd_rmse of ridge fits as cross_validate gives them, all folds and penalties from one pass.
+
+    Each fit takes the sums of all folds less its own; its error on the fold left out comes from that fold's sums too, so
+    rows are read once however many folds and penalties there are.
+    """
+    own = fold_sums(hash_split(df, key, k), y, xs, "fold")
+    whole = sum(own.values())
+    rows = []
+    for reg in regs:
+        errors = []
+        for sums in own.values():
+            beta, intercept = ridge(whole - sums, reg)
+            c = np.array([-intercept, *-beta, 1.0])  # y less the prediction
+            errors.append(math.sqrt(max(0.0, c @ sums @ c) / sums[0, 0]))
+        rows.append(("linear", str({"regParam": reg}), float(np.mean(errors)), float(np.std(errors))))
+    return df.sparkSession.createDataFrame(rows, "model string, params string, mean_rmse double, sd_rmse double")
+
+
 def holdout_scores(train: DataFrame, test: DataFrame, y: str, candidates: dict, features: list[str], by: list[str]) -> DataFrame:
     """model, params, holdout_rmse of the candidates and of the group-mean baseline, fitted on train and scored on test."""
     ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
@@ -100,15 +152,35 @@ def greedy_ensemble(preds: DataFrame, y: str, models: list[str], rounds: int) ->
     return preds.sparkSession.createDataFrame([(c, chosen.count(c) / rounds) for c in models], "model string, weight double")
 
 
-def permutation_importance(model, df: DataFrame, cols: list[str], y: str, key: str, seed: int = 7, slices: int = 64) -> DataFrame:
-    """column_name, importance: how much rmse rises when the column is dealt out anew among the rows of each hash slice."""
+def bijection(n: int, seed: int) -> tuple[int, int]:
+    """a, c of the map r -> (a r + c) mod n, which moves each of 0 to n - 1 to a place of its own."""
+    digest = hashlib.sha256(f"{seed}:{n}".encode()).digest()
+    most = max(1, min(n - 1, (2**62) // max(1, n)))  # a r + c stays within a long
+    a = 1 + int.from_bytes(digest[:8], "little") % most
+    while math.gcd(a, n) != 1:
+        a = a % most + 1
+    return a, int.from_bytes(digest[8:16], "little") % n if n else 0
+
+
+def reordered(placed: DataFrame, col: str, n: int, seed: int) -> DataFrame:
+    """placed (with __pos, the rank of each row by a seeded hash of its key) with the values of col moved by a keyed bijection of the ranks."""
+    a, c = bijection(n, seed)
+    moved = placed.select(((F.col("__pos") * a + c) % n).alias("__pos"), F.col(col))
+    return placed.drop(col).join(moved, "__pos").drop("__pos")
+
+
+def permutation_importance(model, df: DataFrame, cols: list[str], y: str, key: str, seed: int = 7) -> DataFrame:
+    """column_name, importance: how much rmse rises when the column's values are dealt out anew among all rows.
+
+    Rows are ranked once, by a hash of the key and through ranges of it; each column then moves by a bijection of its own
+    and one join of equal numbers, so no task sorts a fixed share of the rows.
+    """
     base = regression_metrics(model.transform(df), y, "prediction").first()["rmse"]
+    ranked = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"p{seed}"))))
+    placed = written(positions(ranked, ["__h", key]).drop("__h"), "ranked")
+    n = placed.count()
     rows = []
-    placed = df.withColumn("__slice", hash_number(key, f"slice{seed}") % slices)
-    for c in cols:
-        own, other = Window.partitionBy("__slice").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"a{seed}{c}")))), Window.partitionBy("__slice").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"b{seed}{c}"))))
-        left = placed.drop(c).withColumn("__i", F.row_number().over(own))
-        right = placed.select("__slice", F.col(c), F.row_number().over(other).alias("__i"))
-        moved = left.join(right, ["__slice", "__i"])
-        rows.append((c, float(regression_metrics(model.transform(moved), y, "prediction").first()["rmse"] - base)))
+    for i, c in enumerate(cols):
+        scored = model.transform(reordered(placed, c, n, seed + i))
+        rows.append((c, float(regression_metrics(scored, y, "prediction").first()["rmse"] - base) if n else None))
     return df.sparkSession.createDataFrame(rows, "column_name string, importance double")

@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import one_row, ratio
-from quarry.functions.ordered import running
+from quarry.functions.columns import one_row, ratio, with_stats
+from quarry.functions.ordered import quantiles, running
+from quarry.functions.sketches import rank_error
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, n: int) -> DataFrame:
@@ -22,28 +23,43 @@ def histogram(df: DataFrame, col: str, low: float, high: float, n: int) -> DataF
 
 def boxplot(df: DataFrame, col: str, by: list[str], k: float = 1.5) -> DataFrame:
     """by, q1, median, q3, whisker_low, whisker_high (last values inside the fence), n_outliers."""
-    q = df.groupBy(*by).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(df, col, [0.25, 0.5, 0.75], by).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     inside = F.col(col).between(F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    each = df.where(F.col(col).isNotNull()).join(q, by)
+    each = with_stats(df.where(F.col(col).isNotNull()), q, by)
     return each.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(col))).alias("whisker_low"), F.max(F.when(inside, F.col(col))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
 
 
-def ecdf(df: DataFrame, col: str) -> DataFrame:
-    """value, n, share of rows at or below it, at distinct values."""
+def ecdf(df: DataFrame, col: str, shares: list[float] | None = None) -> DataFrame:
+    """value, n, share of rows at or below it, at distinct values of any sortable type; or with shares, for each of them (asked) the row of the least value with so many."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    total = one_row(counts.agg(F.sum("n").alias("__t")))
-    return running(counts, "value", ["n"]).crossJoin(total).select("value", "n", ratio(F.col("n_run"), F.col("__t")).alias("share"))
+    run = running(counts, "value", ["n"], totals=True).withColumn("__before", F.col("n_run") - F.col("n"))
+    out = run.select("value", "n", ratio(F.col("n_run"), F.col("n_all")).alias("share"), ratio(F.col("__before"), F.col("n_all")).alias("__before"))
+    if shares is None:
+        return out.drop("__before")
+    # a share of 0 is asked of the first value
+    met = lambda p: (F.lit(float(p)) <= F.col("share")) & ((F.lit(float(p)) > F.col("__before")) | ((F.lit(float(p)) <= 0) & (F.col("__before") <= 0)))
+    asked = F.filter(F.array(*[F.when(met(p), F.lit(float(p))) for p in shares]), lambda x: x.isNotNull())
+    return out.where(F.size(asked) > 0).select(F.explode(asked).alias("asked"), "value", "n", "share")
+
+
+def ecdf_sketched(df: DataFrame, col: str, shares: list[float], k: int = 4000) -> DataFrame:
+    """asked, value, error: values whose shares of rows are within `error` of those asked for, from one KLL sketch in one pass."""
+    made = df.agg(F.kll_sketch_agg_double(F.col(col).cast("double"), F.lit(k)).alias("__s"))
+    at = F.array(*[F.lit(float(p)) for p in shares])
+    return made.where(F.kll_sketch_get_n_double("__s") > 0).select(F.explode(F.arrays_zip(at.alias("asked"), F.kll_sketch_get_quantile_double("__s", at).alias("value"))).alias("x")).select("x.asked", "x.value", F.lit(rank_error(k)).alias("error"))
 
 
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
-    """cols as average ranks, from the counts at distinct values; rows with a null don't count."""
-    base = out = df.select(*cols).dropna()
-    for c in cols:
-        counts = base.groupBy(c).agg(F.count("*").alias("__n"))
-        ranked = running(counts, c, ["__n"]).select(c, (F.col("__n_run") - (F.col("__n") - 1) / 2).alias("__r"))
-        out = out.join(ranked.withColumnRenamed("__r", f"__r_{c}"), c)
-    return out.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
+    """cols as average ranks; rows with a null don't count.
+
+    All columns are ranked together: their values in long form, counted, put in order by one range exchange, and joined
+    back and regrouped by row once.
+    """
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna().withColumn("__row", F.monotonically_increasing_id())
+    long = base.select("__row", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("x")).select("__row", "x.*")
+    counts = long.groupBy("c", "v").agg(F.count("*").alias("n"))
+    ranks = running(counts, "v", ["n"], ["c"]).select("c", "v", (F.col("n_run") - (F.col("n") - 1) / 2).alias("rank"))
+    return long.join(ranks, ["c", "v"]).groupBy("__row").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(c) for i, c in enumerate(cols)]).drop("__row")
 
 
 def corr_matrix(df: DataFrame, cols: list[str], how: str = "pearson") -> DataFrame:

@@ -7,15 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import hash_number, one_row, ratio
+from quarry.functions.columns import hash_number, one_row, ratio, with_stats
 from quarry.functions.ordered import quantiles
 
 
 def impute(train: DataFrame, df: DataFrame, cols: list[str], how: str) -> DataFrame:
     """df with nulls of cols as the training mean, median or mode (the smaller of ties), and <col>_was_missing."""
-    made = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "mode": lambda c: F.mode(c, deterministic=True)}[how]
-    stats = one_row(train.agg(*[made(c).alias(f"{c}__fill") for c in cols]))
-    out = df.crossJoin(stats).withColumns({f"{c}_was_missing": F.col(c).isNull() for c in cols})
+    if how == "median":
+        stats = reduce(lambda a, b: a.crossJoin(one_row(b)), [quantiles(train, c, [0.5]).select(F.col("q")[0].alias(f"{c}__fill")) for c in cols])
+    else:
+        made = {"mean": F.avg, "mode": lambda c: F.mode(c, deterministic=True)}[how]
+        stats = train.agg(*[made(c).alias(f"{c}__fill") for c in cols])
+    out = df.crossJoin(one_row(stats)).withColumns({f"{c}_was_missing": F.col(c).isNull() for c in cols})
     return out.withColumns({c: F.coalesce(c, f"{c}__fill") for c in cols}).drop(*[f"{c}__fill" for c in cols])
 
 
@@ -55,12 +58,14 @@ def one_hot(train: DataFrame, df: DataFrame, col: str, top: int) -> DataFrame:
 
 
 def target_encode(df: DataFrame, col: str, y: str, fold: str, smoothing: float = 10.0) -> DataFrame:
-    """Adds encoded: the level's mean of y over the other folds, drawn to their overall mean by `smoothing` rows."""
-    cells = df.groupBy(col, fold).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(y).alias("n"))
-    level, own, every = Window.partitionBy(col), Window.partitionBy(fold), Window.partitionBy()
-    rest = cells.select(col, fold, (F.sum("s").over(level) - F.col("s")).alias("__s"), (F.sum("n").over(level) - F.col("n")).alias("__n"), ratio(F.sum("s").over(every) - F.sum("s").over(own), F.sum("n").over(every) - F.sum("n").over(own)).alias("__m"))
-    joined = df.join(rest, df[col].eqNullSafe(rest[col]) & (df[fold] == rest[fold])).drop(rest[col]).drop(rest[fold])
-    return joined.withColumn("encoded", ratio(F.col("__s") + smoothing * F.col("__m"), F.col("__n") + smoothing)).drop("__s", "__n", "__m")
+    """Adds encoded: the level's mean of y over the other folds, drawn to their overall mean by `smoothing` rows. A null level or fold is one like any other."""
+    cells = df.groupBy(col, fold).agg(F.sum(F.col(y).cast("double")).alias("__s"), F.count(y).alias("__n"))
+    sums = lambda by, name: cells.groupBy(*by).agg(F.coalesce(F.sum("__s"), F.lit(0.0)).alias(f"__s_{name}"), F.sum("__n").alias(f"__n_{name}"))
+    rest = with_stats(with_stats(with_stats(cells, sums([col], "level"), [col]), sums([fold], "fold"), [fold]), sums([], "all"), [])
+    own = F.coalesce("__s", F.lit(0.0))
+    overall = ratio(F.col("__s_all") - F.col("__s_fold"), F.col("__n_all") - F.col("__n_fold"))
+    encoded = ratio(F.col("__s_level") - own + smoothing * overall, F.col("__n_level") - F.col("__n") + smoothing)
+    return with_stats(df, rest.select(col, fold, encoded.alias("encoded")), [col, fold])
 
 
 def stratified_split(df: DataFrame, key: str, y: str, share: float, slices: int = 64) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import one_row, ratio
+from quarry.sources.shared import written
+
+#: Items of a block of a large basket, about.
+BLOCK = 1000
 
 
 def bought(df: DataFrame, tx: str, item: str) -> DataFrame:
@@ -32,13 +36,46 @@ def item_support(df: DataFrame, tx: str, item: str, minimum: float) -> DataFrame
     return counts.crossJoin(at_least(pairs, minimum)).where("n >= least").select("item", "n", ratio(F.col("n"), F.col("n_tx")).alias("support"))
 
 
-def pair_support(df: DataFrame, tx: str, item: str, minimum: float) -> DataFrame:
+def pair_counts(kept: DataFrame, block: int) -> DataFrame:
+    """a < b, n: in how many baskets both are. kept: distinct tx, item.
+
+    The items of a basket of more than `block` are dealt into blocks by hash; each two blocks of it are a key of their
+    own, so no task pairs more than block^2 or so items of one basket, and every pair still meets once.
+    """
+    sizes = kept.groupBy("tx").agg(F.count("*").alias("__size")).where(F.col("__size") > block)
+    side = lambda df, name, *more: df.select("tx", *more, F.col("item").alias(name))
+    large = written(sizes, "large-baskets")
+    if large.isEmpty():
+        met = side(kept, "a").join(side(kept, "b"), "tx").where("a < b").select("a", "b")
+        return met.groupBy("a", "b").agg(F.count("*").alias("n"))
+    rest = kept.join(large, "tx", "left_anti")
+    met = side(rest, "a").join(side(rest, "b"), "tx").where("a < b").select("a", "b")
+    many = kept.join(large, "tx").withColumn("__blocks", F.ceil(F.col("__size") / block)).withColumn("__own", F.pmod(F.xxhash64("item"), F.col("__blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
+    dealt = many.withColumn("__other", other).withColumns({"__i": F.least("__own", "__other"), "__j": F.greatest("__own", "__other")})
+    left = side(dealt.where(F.col("__own") == F.col("__i")), "x", "__i", "__j")
+    right = side(dealt.where(F.col("__own") == F.col("__j")), "y", "__i", "__j")
+    # a block meets itself in both orders, and another one once
+    pairs = left.join(right, ["tx", "__i", "__j"]).where("(__i = __j AND x < y) OR (__i < __j AND x <> y)")
+    return met.unionByName(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def counted(df: DataFrame, tx: str, item: str, minimum: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Baskets (distinct tx, item; written once), one row of n_tx and least, and the frequent items with their counts."""
+    pairs = written(bought(df, tx, item), "baskets")
+    limits = at_least(pairs, minimum)
+    items = pairs.groupBy("item").agg(F.count("*").alias("n")).crossJoin(limits).where("n >= least").select("item", "n", ratio(F.col("n"), F.col("n_tx")).alias("support"))
+    return pairs, limits, written(items, "items")
+
+
+def frequent_pairs(pairs: DataFrame, limits: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    kept = pairs.join(items.select("item"), "item", "left_semi")
+    return pair_counts(kept, block).crossJoin(limits).where("n >= least").select("a", "b", "n", ratio(F.col("n"), F.col("n_tx")).alias("support"))
+
+
+def pair_support(df: DataFrame, tx: str, item: str, minimum: float, block: int = BLOCK) -> DataFrame:
     """a < b, n, support of pairs in at least `minimum` baskets; rare items are dropped before the self-join."""
-    pairs = bought(df, tx, item)
-    kept = pairs.join(item_support(df, tx, item, minimum).select("item"), "item", "left_semi")
-    a, b = kept.select("tx", F.col("item").alias("a")), kept.select("tx", F.col("item").alias("b"))
-    counts = a.join(b, "tx").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return counts.crossJoin(at_least(pairs, minimum)).where("n >= least").select("a", "b", "n", ratio(F.col("n"), F.col("n_tx")).alias("support"))
+    return frequent_pairs(*counted(df, tx, item, minimum), block)
 
 
 def measures(joint: str, left: str, right: str) -> list:
@@ -48,14 +85,15 @@ def measures(joint: str, left: str, right: str) -> list:
     return [confidence.alias("confidence"), ratio(s, a * b).alias("lift"), (s - a * b).alias("leverage"), ratio(1 - b, 1 - confidence).alias("conviction")]
 
 
-def pair_rules(df: DataFrame, tx: str, item: str, minimum: float) -> DataFrame:
-    """antecedent, consequent, n, support, confidence, lift, leverage, conviction of both directions of each frequent pair."""
-    pairs = pair_support(df, tx, item, minimum)
-    both = pairs.select(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), "n", "support").union(pairs.select("b", "a", "n", "support"))
-    single = item_support(df, tx, item, minimum)
-    left = single.select(F.col("item").alias("antecedent"), F.col("support").alias("left"))
-    right = single.select(F.col("item").alias("consequent"), F.col("support").alias("right"))
-    return both.join(left, "antecedent").join(right, "consequent").select("antecedent", "consequent", "n", "support", *measures("support", "left", "right"))
+def pair_rules(df: DataFrame, tx: str, item: str, minimum: float, block: int = BLOCK) -> DataFrame:
+    """antecedent, consequent, n, support, confidence, lift, leverage, conviction of both directions of each frequent pair. Baskets are made once."""
+    known = counted(df, tx, item, minimum)
+    pairs, single = frequent_pairs(*known, block), known[2]
+    left = single.select(F.col("item").alias("a"), F.col("support").alias("left"))
+    right = single.select(F.col("item").alias("b"), F.col("support").alias("right"))
+    told = pairs.join(left, "a").join(right, "b")
+    ways = F.explode(F.array(*[F.struct(F.col(x).alias("antecedent"), F.col(y).alias("consequent"), F.col(u).alias("left"), F.col(v).alias("right")) for x, y, u, v in (("a", "b", "left", "right"), ("b", "a", "right", "left"))]))
+    return told.select("n", "support", ways.alias("w")).select("n", "support", "w.*").select("antecedent", "consequent", "n", "support", *measures("support", "left", "right"))
 
 
 def model(df: DataFrame, tx: str, item: str, minimum: float, confidence: float = 0.0):

