@@ -71,11 +71,11 @@ def numbered(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term (number; -1: the length of the row), row, doc_id, pos. vocabulary: word, term."""
+    """term (number; -1: the length of the row), row, doc_id (with the length alone), pos. vocabulary: word, term."""
     w = F.concat(F.coalesce(words(docs["text"]), F.array().cast("array<string>")), F.array(F.lit("")))
     rows = docs.select("doc_id", row_number(docs).alias("row"), w.alias("w"))
     tokens = rows.select("doc_id", "row", F.posexplode("w").alias("pos", "word"))
-    return tokens.join(small(vocabulary, F.octet_length("word")), "word").select("term", "row", "doc_id", "pos")
+    return tokens.join(small(vocabulary, F.octet_length("word")), "word").select("term", "row", F.when(F.col("term") == -1, F.col("doc_id")).alias("doc_id"), "pos")
 
 
 def bit(off: str) -> Column:
@@ -133,12 +133,13 @@ def matches(index: DataFrame, places: DataFrame, known: DataFrame, distance: int
     met = wanted.join(near, ["row", "term"]).where(shift.between(first - 2 * distance, first + 2 * wide - 1 + 2 * distance)).select("item", "row", "cell", "off", shift.alias("shift"))
     lists = met.groupBy("item", "row", "cell").agg(F.bit_or(bit("off")).alias("bits"), F.collect_set(F.struct("off", "shift")).alias("l"))
     whole = lists.join(small(known.select("item", "k", "windows"), 24 * F.size("windows")), "item").where(F.exists("windows", lambda w: F.bit_count(w["bits"].bitwiseAND(F.col("bits"))) >= w["all"]))
-    each = whole.withColumn("shift", F.explode(F.sequence(first - distance, first + 2 * wide - 1 + distance)))
-    offs = lambda most: F.array_sort(F.array_distinct(F.transform(F.filter("l", lambda x: F.abs(x["shift"] - F.col("shift")) <= most), lambda x: x["off"])))
-    each = each.select("item", "row", "shift", "k", (F.col("k") - lacking(F.col("k"))).alias("least"), offs(distance).alias("near"), offs(0).alias("there"))
+    # which words are within a window of shifts changes only where the window begins at one of them
+    each = whole.select("item", "row", "k", "l", F.explode(F.array_distinct(F.transform("l", lambda x: x["shift"]))).alias("shift"))
+    offs = lambda most: F.array_sort(F.array_distinct(F.transform(F.filter("l", lambda x: x["shift"].between(F.col("shift"), F.col("shift") + most)), lambda x: x["off"])))
+    each = each.select("item", "row", "shift", "k", (F.col("k") - lacking(F.col("k"))).alias("least"), offs(2 * distance).alias("near"), offs(0).alias("there"))
     # sorted offsets, so many of which lie within one window
     within = lambda c, n, k: F.filter(F.transform(c, lambda x, i: F.when(F.get(c, i + n - 1) - x < k, x)), lambda x: x.isNotNull())
-    told = each.where(F.size(within(F.col("near"), F.col("least"), F.col("k"))) > 0)
+    told = each.where(F.size("near") >= F.col("least")).where(F.size(within(F.col("near"), F.col("least"), F.col("k"))) > 0)
     return told.select("item", "row", "shift", "k", within(F.col("there"), F.col("k"), F.col("k")).alias("starts")).distinct()
 
 
