@@ -154,10 +154,10 @@ def resampled(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, grams:
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("double")
     score = F.col("weight") + F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
     found = weighted(docs, gain, grams).withColumn("score", score).withColumn("candidate", (F.col("n_words") >= least) & F.col("score").isNotNull())
-    # one exchange: candidates first, by score; ranges of equal numbers of rows, each sorted in its own task
+    # written first, as finding the borders of the ranges reads it once more; one exchange: candidates first, by score; ranges of equal numbers of rows, each sorted in its own task
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("candidate").desc(), F.col("score").desc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("weight").desc(), F.col("n_features").desc()]
-    placed = found.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"))
+    placed = written(found, "scored").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"))
     placed = written(placed, "ranked")
     sizes = placed.groupBy("part").agg(F.count_if("candidate").alias("n"), F.count_if(F.col("n_words") >= least).alias("long")).collect()  # a row per range
     drawn = sum(r["long"] for r in sizes) * percent // 100
