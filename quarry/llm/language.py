@@ -7,7 +7,7 @@ separates each language from the rest. Many texts are scored by one matrix produ
 the weights.
 
 N-grams are hashed to COLUMNS numbers, so some share one; a very long text has most of them. Training takes a bounded
-sample of rows of at most LANGUAGES languages. Defined results: null texts and texts without a letter are `und`
+sample of rows of each language, all languages included. Defined results: null texts and texts without a letter are `und`
 with score 0; without training rows every text is; repeated rows score alike; only text (and for learning doc_id and
 lang) is read. Letters are the characters of Unicode's categories L. Texts of any length are read whole, in parts. An
 empty table gives an empty result.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from quarry.llm.vocabulary import grouped_texts
 
 COLUMNS, LONGEST = 8192, 3
-#: The bound of the sample: languages (those with most rows), texts and landmarks of each language.
-LANGUAGES, SAMPLE, LANDMARKS, RIDGE = 200, 500, 32, 1e-3
+#: The bound of the sample: texts and landmarks of each language, and of all together where there are very many languages. Every language is learned.
+SAMPLE, LANDMARKS, ALL_SAMPLE, ALL_LANDMARKS, RIDGE = 500, 32, 100_000, 6400, 1e-3
 letter = regex.compile(r"\p{L}")
 
 
@@ -58,17 +58,18 @@ class Model:
 
     @classmethod
     def train(cls, rows: np.ndarray, of: np.ndarray, languages: list[str]) -> Model:
-        chosen = np.concatenate([np.flatnonzero(of == k)[:LANDMARKS] for k in range(len(languages))])
+        each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+        chosen = np.concatenate([np.flatnonzero(of == k)[:each] for k in range(len(languages))])
         landmarks = rows[chosen]
+        nystrom = cls.nystrom(landmarks)
+        return cls(landmarks, (nystrom @ ridge(cls.kernel(rows, landmarks) @ nystrom, of, len(languages))).astype(np.float32), languages)
+
+    @classmethod
+    def nystrom(cls, landmarks: np.ndarray) -> np.ndarray:
+        """The map from kernels with the landmarks to features whose products are the kernel, on the landmarks' span."""
         values, vectors = np.linalg.eigh(cls.kernel(landmarks, landmarks).astype(np.float64))
         good = values > 1e-6 * values.max()
-        nystrom = vectors[:, good] / np.sqrt(values[good])
-        features = cls.kernel(rows, landmarks) @ nystrom
-        share = 1 / np.bincount(of, minlength=len(languages))[of]
-        target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
-        weighted = features * share[:, None]
-        solved = np.linalg.solve(weighted.T @ features + RIDGE * np.eye(features.shape[1]), weighted.T @ target)
-        return cls(landmarks, (nystrom @ solved).astype(np.float32), languages)
+        return vectors[:, good] / np.sqrt(values[good])
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         margins = self.kernel(presence(texts), self.landmarks) @ self.weights
@@ -77,18 +78,26 @@ class Model:
         return [(self.languages[k], float(o[k] / o.sum())) for k, o in zip(best.tolist(), odds, strict=True)]
 
 
+def ridge(features: np.ndarray, of: np.ndarray, kinds: int) -> np.ndarray:
+    """A weight vector for each kind against the rest (1 and -1) by ridge regression. All kinds weigh the same."""
+    share = 1 / np.bincount(of, minlength=kinds)[of]
+    target = np.where(of[:, None] == np.arange(kinds), 1.0, -1.0)
+    weighted = features * share[:, None]
+    return np.linalg.solve(weighted.T @ features + RIDGE * np.eye(features.shape[1]), weighted.T @ target)
+
+
 def held_out(docs: DataFrame) -> F.Column:
     """True for rows whose crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """The model of at most SAMPLE rows of each language, those first in the order of a hash of doc_id; None without any."""
+    """The model of at most SAMPLE rows (fewer where languages are very many) of each language, those first in the order of a hash of doc_id; None without any."""
     rows = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs)).select("doc_id", "lang", F.xxhash64(F.lit("lang"), "doc_id").alias("h"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    ids = rows.join(F.broadcast(most), "lang").withColumn("part", F.pmod("h", F.lit(64)))
+    each = max(2, min(SAMPLE, ALL_SAMPLE // max(1, rows.select("lang").distinct().count())))
+    ids = rows.withColumn("part", F.pmod("h", F.lit(64)))
     for keys in (["lang", "part"], ["lang"]):  # in two steps, so that a task gets a bounded number of rows of a frequent language
-        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("place") <= SAMPLE).drop("place")
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("place") <= each).drop("place")
     ids = ids.select("doc_id", F.col("lang").alias("own"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

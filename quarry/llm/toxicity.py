@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import texts, written
 from quarry.llm.vocabulary import Kept, grouped_texts
 
-BITS, DIMENSIONS = 18, 8
+BITS, DIMENSIONS, DECAY = 18, 8, 1e-6
 #: An n-gram has a vector if its share of texts differs by this factor between the kinds, with a likelihood ratio
 #: statistic that chance hardly reaches in any of 2^18 buckets.
 FACTOR, EVIDENCE = 2.5, 27.0
 WINDOW, STRIDE = 16, 8
-#: The bound of the sample: toxic and other labelled texts, and windows of each text, spread over the whole of it.
-SAMPLE, WINDOWS = (2000, 6000), 12
+#: The bound of the sample: toxic and other labelled texts. All windows of each are learned from.
+SAMPLE = (2000, 6000)
 
 
 #: Odd numbers by which bytes are weighed, by place, in the hash of a whole word.
@@ -93,9 +93,8 @@ class Windows:
 
     def __init__(self, rows: list[tuple[int, int, bytes]]):
         known: dict[bytes, int] = {}
-        split = [row[2].split() for row in rows]
-        self.size = np.array([len(x) for x in split], np.int64)
-        self.word = np.fromiter((known.setdefault(w, len(known)) for x in split for w in x), np.int32, int(self.size.sum()))
+        self.size = np.array([row[2].count(b" ") + 1 for row in rows], np.int64)
+        self.word = np.fromiter((known.setdefault(w, len(known)) for row in rows for w in row[2].split()), np.int32, int(self.size.sum()))
         self.toxic = np.array([row[1] for row in rows], np.int64)
         self.doc = np.unique(np.array([row[0] for row in rows], np.int64), return_inverse=True)[1]
         words, buckets, counts = list(known), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
@@ -148,6 +147,51 @@ class Windows:
         return np.where(chosen, np.cumsum(chosen) - 1, -1)
 
 
+class Task:
+    """Loss and gradients of the softmax over the averages of the kept windows; both kinds weigh the same.
+
+    Windows without a word that has a vector are all alike, so they count as one of each kind with their joint weight.
+    """
+
+    def __init__(self, index: np.ndarray, sample: Windows, keep: np.ndarray):
+        self.known = len(sample.per_word)
+        gram = index[sample.bucket]
+        owner = np.repeat(np.arange(self.known, dtype=np.int32), sample.per_word)[gram >= 0]
+        self.gram, self.owner = gram[gram >= 0], owner
+        has = np.zeros(self.known, bool)
+        has[owner] = True
+        used = has[sample.word] & np.repeat(keep, sample.size)
+        window = np.repeat(np.arange(len(sample.size)), sample.size)[used]
+        self.word = sample.word[used]
+        active, self.window = np.unique(window, return_inverse=True)
+        share = 0.5 / np.maximum(1, np.bincount(sample.toxic[keep], minlength=2))
+        rest = np.bincount(sample.toxic[keep], minlength=2) - np.bincount(sample.toxic[active], minlength=2)
+        toxic = np.append(sample.toxic[active], (0, 1))
+        self.share = np.append(share[sample.toxic[active]], rest * share)
+        self.size = np.append(sample.size[active], (1, 1))[:, None]
+        self.target = np.eye(2)[toxic]
+        self.per_word = np.maximum(sample.per_word, 1)[:, None]
+
+    def averages(self, e: np.ndarray) -> np.ndarray:
+        vectors = scattered(self.owner, e[self.gram], self.known) / self.per_word
+        return scattered(self.window, vectors[self.word], len(self.target)) / self.size
+
+    @staticmethod
+    def softmax(z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def loss(self, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> float:
+        p = self.softmax(self.averages(e) @ w + b)
+        return float(-(self.share * np.log((p * self.target).sum(axis=1))).sum() + DECAY / 2 * (e * e).sum())
+
+    def gradients(self, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = self.averages(e)
+        d = (self.softmax(x @ w + b) - self.target) * self.share[:, None]
+        dv = scattered(self.word, ((d @ w.T) / self.size)[self.window], self.known) / self.per_word
+        return scattered(self.gram, dv[self.owner], len(e)) + DECAY * e, x.T @ d, d.sum(axis=0)
+
+
 class Model:
     """Embeddings of the n-grams in `index` (bucket to row, -1: a zero vector) and a softmax over their averages."""
 
@@ -159,30 +203,12 @@ class Model:
     def train(cls, index: np.ndarray, sample: Windows, keep: np.ndarray, epochs: int = 150, seed: int = 7) -> Model:
         """The model of the windows that are kept."""
         rng = np.random.default_rng(seed)
-        known, toxic, size = len(sample.per_word), sample.toxic[keep], sample.size[keep]
-        gram = index[sample.bucket]
-        owner = np.repeat(np.arange(known, dtype=np.int32), sample.per_word)[gram >= 0]
-        gram = gram[gram >= 0]
-        has = np.zeros(known, bool)
-        has[owner] = True
-        window = np.repeat(np.cumsum(keep) - 1, sample.size)
-        used = has[sample.word] & np.repeat(keep, sample.size)
-        word, window = sample.word[used], window[used]
-        per_word = np.maximum(sample.per_word, 1)[:, None]
+        task = Task(index, sample, keep)
         e = rng.normal(0, 0.1, (int(index.max()) + 1, DIMENSIONS))
         w, b = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
-        share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
-        target = np.eye(2)[toxic]
         moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, b)]
         for t in range(1, epochs + 1):
-            vectors = scattered(owner, e[gram], known) / per_word
-            x = scattered(window, vectors[word], len(toxic)) / size[:, None]
-            z = x @ w + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            d = (p / p.sum(axis=1, keepdims=True) - target) * share[:, None]
-            dv = scattered(word, ((d @ w.T) / size[:, None])[window], known) / per_word
-            de = scattered(gram, dv[owner], len(e)) + 1e-6 * e
-            for value, grad, (m, v) in zip((e, w, b), (de, x.T @ d, d.sum(axis=0)), moments, strict=True):
+            for value, grad, (m, v) in zip((e, w, b), task.gradients(e, w, b), moments, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 value -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -222,16 +248,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sampled_windows(chosen: DataFrame) -> list[tuple[int, int, bytes]]:
-    """(doc_id, toxic, words) of windows of the sample's texts."""
+    """(doc_id, toxic, words) of the different windows of the sample's texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 words = words_of(text)
-                starts = window_starts(len(words))
-                chosen = starts[np.unique(np.linspace(0, len(starts) - 1, WINDOWS).astype(int))]
-                rows += [(doc, toxic, b" ".join(words[s : s + WINDOW])) for s in chosen.tolist() if words]
+                rows += [(doc, toxic, b" ".join(words[s : s + WINDOW])) for s in window_starts(len(words)).tolist() if words]
             d, t, w = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "toxic": pa.array(t, pa.int32()), "words": pa.array(w, pa.binary())})
 
