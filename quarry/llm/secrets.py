@@ -38,6 +38,8 @@ assign, access, hexes, mixed = re.compile(ASSIGN, re.ASCII | re.IGNORECASE), re.
 LEAST_ENTROPY = 3.5
 #: A value in so many documents of its only owner counts as widely copied.
 MANY = 10
+#: Values of at least one in so many candidates are frequent ones.
+HOT = 5000
 
 
 def entropy(value: str) -> float:
@@ -95,14 +97,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_document.join(by_owner, "hash")
 
 
-def secrets(docs: DataFrame) -> DataFrame:
+def with_ownership(each: DataFrame) -> DataFrame:
+    """each (row, doc_id, source, hash) with the repositories and owners of its value.
+
+    Values that stand in a share of 1 / HOT of all candidates or more are at most HOT, so they are sent to all tasks and
+    their rows aren't shuffled; the rest is joined by value, and no value has a large part of it.
+    """
+    counted = written(ownership(each), "ownership")
+    n = each.count()
+    hot = F.broadcast(counted.where(F.col("repositories") * HOT >= n))
+    cold = each.join(hot.select("hash"), "hash", "left_anti").join(counted, "hash")
+    return each.join(hot, "hash").unionByName(cold)
+
+
+def secrets(docs: DataFrame, many: int = MANY) -> DataFrame:
     """doc_id, base counts and digest, spans (all, joined), and how many spans are owner-specific or widely copied.
 
     Then repositories and owners: those of each candidate by start, joined, also of mixed strings that aren't added.
     """
     rows = written(scanned(docs), "secrets")
     each = rows.select("row", "doc_id", "source", F.explode("found").alias("s")).select("row", "doc_id", "source", "s.*")
-    told = each.join(ownership(each), "hash").withColumn("live", (F.col("owners") == 1) & (F.col("repositories") < MANY))
+    told = with_ownership(each).withColumn("live", (F.col("owners") == 1) & (F.col("repositories") < many))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("said"))
     counts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "end", c))), lambda x: x[c]), ",").alias(c)

@@ -65,6 +65,56 @@ def test_odd_rows_null_and_repeated_ids(spark, name):
     assert found and len(found) <= docs.count()
 
 
+def odd_rows():
+    """Texts with ids of which some are null and some repeated, for equal texts and for different ones."""
+    long = "A passage of many words that stands in several rows, " * 12
+    texts_ = [*ODD, *ODD[:4], "same", "same", f"one {long}", f"two {long}", None]
+    return texts_, [None, *range(1, len(ODD)), 1, 2, 3, 4, 77, 77, 78, None, None]
+
+
+def told(rows, *columns):
+    return sorted(str([r[c] for c in columns]) for r in rows)
+
+
+def test_odd_rows_exactly(spark):
+    """Null and repeated ids: each row's result is that of its own text, and of all texts for repeats."""
+    texts_, ids = odd_rows()
+    docs = table(spark, texts_, ids)
+    sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    want = [(i, len((t or "").encode()), n := len(byte.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in zip(ids, texts_, strict=True)]
+    assert told(token_counts.token_counts(docs, BYTE).collect(), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(str(list(x)) for x in want)
+    coded = [(i, word.encode(t or "", add_special_tokens=False).ids) for i, t in zip(ids, texts_, strict=True)]
+    want = [[i, len(x), sha(" ".join(map(str, x))), sha(word.decode(x, skip_special_tokens=False))] for i, x in coded]
+    assert told(bpe.encoded_digests(docs, WORD).collect(), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(map(str, want))
+    want = [[i, *x] for i, x in zip(ids, repeats(texts_, 400), strict=True)]
+    assert any(x[2] for x in want) and told(substring_dedup.without_repeats(docs).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(map(str, want))
+    found = [[x for x in secrets.found_in(t or "") if x[1] < 3] for t in texts_]
+    want = [[i, *(sum(x[1] == k for x in f) for k in range(3)), sha(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in f))] for i, f in zip(ids, found, strict=True)]
+    assert told(secrets.secrets(docs).collect(), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(map(str, want))
+
+
+def test_odd_rows_of_learned_operators(spark):
+    """Null and repeated ids: predictions are those of the model that the table gives, by text alone."""
+    texts_, ids = odd_rows()
+    docs = table(spark, texts_, ids).union(real(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("x")] * 5))
+    out = lambda i, m, k: i is not None and zlib.crc32(str(i).encode()) % m == k
+    model = language.fit(docs)
+    every = [(r.doc_id, r.text) for r in docs.collect()]
+    pred = [(i, out(i, 4, 2), *(model.predict([t])[0] if t and any(c.isalpha() for c in t) else ("und", 0.0))) for i, t in every]
+    got = language.languages(docs).collect()
+    assert told(got, "doc_id", "held_out", "lang_pred") == sorted(str(list(x[:3])) for x in pred)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(x[3] for x in pred), abs=1e-4)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (1, None), (77, 1), (77, 0), (78, 5)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, labels)
+    margin = toxicity.scorer(model)([t or "" for _, t in every])
+    want = [(i, out(i, 5, 0), 0.0 if m is None else float(model.probability(np.float64(m)))) for (i, _), m in zip(every, margin, strict=True)]
+    got = toxicity.toxicity(docs, labels).collect()
+    assert told(got, "doc_id", "held_out") == sorted(str(list(x[:2])) for x in want)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(x[2] for x in want), abs=1e-9)
+    assert all(r.predicted == (r.score >= 0.5) for r in got)
+
+
 def test_token_counts_as_the_library(spark, texts):
     t = Tokenizer.from_file(BYTE)
     got = by_id(token_counts.token_counts(table(spark, texts), BYTE))
