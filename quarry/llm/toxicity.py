@@ -80,9 +80,19 @@ def window_starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, max(0, n - WINDOW), STRIDE), max(0, n - WINDOW))
 
 
-def scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of the values that go to each row."""
-    return np.stack([np.bincount(at, values[:, k], rows) for k in range(values.shape[1])], axis=1)
+class Sums:
+    """Adds rows of one table up in rows of another, as links from `source` to `at` say. The links are sorted once."""
+
+    def __init__(self, source: np.ndarray, at: np.ndarray, rows: int):
+        order = np.argsort(at, kind="stable")
+        self.source, self.rows = source[order], rows
+        self.present, self.starts = np.unique(at[order], return_index=True)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.rows, values.shape[1]))
+        if len(self.starts):
+            out[self.present] = np.add.reduceat(values[self.source], self.starts, axis=0)
+        return out
 
 
 class Windows:
@@ -154,27 +164,30 @@ class Task:
     """
 
     def __init__(self, index: np.ndarray, sample: Windows, keep: np.ndarray):
-        self.known = len(sample.per_word)
         gram = index[sample.bucket]
-        owner = np.repeat(np.arange(self.known, dtype=np.int32), sample.per_word)[gram >= 0]
-        self.gram, self.owner = gram[gram >= 0], owner
-        has = np.zeros(self.known, bool)
+        owner = np.repeat(np.arange(len(sample.per_word)), sample.per_word)[gram >= 0]
+        gram = gram[gram >= 0]
+        has = np.zeros(len(sample.per_word), bool)
         has[owner] = True
         used = has[sample.word] & np.repeat(keep, sample.size)
         window = np.repeat(np.arange(len(sample.size)), sample.size)[used]
-        self.word = sample.word[used]
-        active, self.window = np.unique(window, return_inverse=True)
+        # words with a vector that stand in a kept window
+        seen, word = np.unique(sample.word[used], return_inverse=True)
+        stays = np.isin(owner, seen)
+        owner, gram = np.searchsorted(seen, owner[stays]), gram[stays]
+        active, window = np.unique(window, return_inverse=True)
         share = 0.5 / np.maximum(1, np.bincount(sample.toxic[keep], minlength=2))
         rest = np.bincount(sample.toxic[keep], minlength=2) - np.bincount(sample.toxic[active], minlength=2)
         toxic = np.append(sample.toxic[active], (0, 1))
         self.share = np.append(share[sample.toxic[active]], rest * share)
         self.size = np.append(sample.size[active], (1, 1))[:, None]
         self.target = np.eye(2)[toxic]
-        self.per_word = np.maximum(sample.per_word, 1)[:, None]
+        self.per_word = sample.per_word[seen][:, None]
+        self.to_words, self.to_windows = Sums(gram, owner, len(seen)), Sums(word, window, len(self.target))
+        self.back_to_words, self.back_to_grams = Sums(window, word, len(seen)), Sums(owner, gram, int(index.max()) + 1)
 
     def averages(self, e: np.ndarray) -> np.ndarray:
-        vectors = scattered(self.owner, e[self.gram], self.known) / self.per_word
-        return scattered(self.window, vectors[self.word], len(self.target)) / self.size
+        return self.to_windows(self.to_words(e) / self.per_word) / self.size
 
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
@@ -188,8 +201,8 @@ class Task:
     def gradients(self, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.averages(e)
         d = (self.softmax(x @ w + b) - self.target) * self.share[:, None]
-        dv = scattered(self.word, ((d @ w.T) / self.size)[self.window], self.known) / self.per_word
-        return scattered(self.gram, dv[self.owner], len(e)) + DECAY * e, x.T @ d, d.sum(axis=0)
+        dv = self.back_to_words((d @ w.T) / self.size) / self.per_word
+        return self.back_to_grams(dv) + DECAY * e, x.T @ d, d.sum(axis=0)
 
 
 class Model:
