@@ -360,6 +360,18 @@ def am02_auto_prep(spark: SparkSession, d: str) -> DataFrame:
     return made.select("p_partkey", vector_to_array("features").alias("features"))
 
 
+@query("""WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS i FROM part GROUP BY 1), t AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS j FROM part GROUP BY 1)
+SELECT p_partkey, array_to_string(list_concat([p_size::BIGINT], list_transform(range((SELECT count(*) FROM b)), lambda x: (x = i)::BIGINT), list_transform(range((SELECT count(*) FROM t)), lambda x: (x = j)::BIGINT)), ',') AS features FROM part JOIN b USING (p_brand) JOIN t USING (p_type)""")
+def am02b_prepared_features(spark: SparkSession, d: str) -> DataFrame:
+    """AM-02 over named roles, as text: the size, then a place for each brand and type from the commonest on."""
+    from pyspark.ml.functions import vector_to_array
+
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    roles = spark.createDataFrame([("p_size", 1, "numeric"), ("p_brand", 1, "categorical"), ("p_type", 1, "categorical")], "column_name string, n_distinct long, role string")
+    made = automl.auto_prep(part, roles, "p_retailprice").fit(part).transform(part)
+    return made.select("p_partkey", F.array_join(F.transform(vector_to_array("features"), lambda x: x.cast("long").cast("string")), ",").alias("features"))
+
+
 def candidates() -> dict:
     from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that new_path() gave and that weren't removed since.
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on one machine, a new temporary one."""
@@ -23,12 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder. Hadoop removes it when the application ends."""
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    _made.append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of the shared folder."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were written inside, once all that reads them is done."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            remove(spark, path)
+        del _made[first:]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written once to the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
@@ -39,7 +62,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_path(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a table made by written() that is no longer read."""
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        remove(spark, path)

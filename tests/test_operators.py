@@ -34,6 +34,10 @@ def test_baseline_uses_only_training_rows(spark):
 
 def test_trees_beat_the_baseline(spark):
     assert modelling.rg06_tree_fit(spark, SF).first()["rmse"] < 10
+    rows = modelling.exact_line(spark, SF)
+    forest = regression.tree_fit(rows.where("NOT is_test"), [*modelling.XS, "flag_r"], "noisy", "forest").transform(rows.where("is_test"))
+    plain = regression.mean_baseline(rows.where("NOT is_test"), rows.where("is_test"), ["l_linenumber"], "noisy")
+    assert regression.regression_metrics(forest, "noisy", "prediction").first()["rmse"] < regression.regression_metrics(plain, "noisy", "yhat").first()["rmse"] / 3
 
 
 def test_scores_share_ties(spark):
