@@ -1,15 +1,15 @@
-"""What the training-data operators share: the shared folder, written intermediate tables, document columns."""
+"""What the training-data operators share: numbers of rows, filters by them, document columns."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import drop_path, new_path, released, shared_folder, written  # noqa: F401  (the operators take them from here)
+
 #: Characters of `[\x20\x09-\x0D]`, the white space of the contracts.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,42 +18,6 @@ SPACES = " \t\n\x0b\x0c\r"
 SENT_ROWS = 500_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on one machine, a new temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file:{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder. Hadoop removes it when the application ends."""
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written once to the shared folder: it cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table made by written() that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 #: A row's number has so many bits for its place in its file; the rest tells the file.
 PLACE_BITS = 28
 #: What a table may consist of to be read again with the same rows: files, columns, filters.

@@ -14,7 +14,7 @@ alike; without labels of both kinds all texts score 0; only doc_id and text are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -80,6 +80,12 @@ def window_starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, max(0, n - WINDOW), STRIDE), max(0, n - WINDOW))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted. Sorting is faster here than the hash table of np.unique."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 class Sums:
     """Adds rows of one table up in rows of another, as links from `source` to `at` say. The links are sorted once."""
 
@@ -101,12 +107,22 @@ class Windows:
     Words are kept as numbers and hashed in parts, so that the sample takes little memory.
     """
 
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
+    def __init__(self, rows: Iterable[tuple[int, int, bytes]]):
+        """rows: doc_id, toxic and the words of each text, which is cut into its windows here; equal windows of a text count once."""
         known: dict[bytes, int] = {}
-        self.size = np.array([row[2].count(b" ") + 1 for row in rows], np.int64)
-        self.word = np.fromiter((known.setdefault(w, len(known)) for row in rows for w in row[2].split()), np.int32, int(self.size.sum()))
-        self.toxic = np.array([row[1] for row in rows], np.int64)
-        self.doc = np.unique(np.array([row[0] for row in rows], np.int64), return_inverse=True)[1]
+        size, word, toxic, doc = ([] for _ in range(4))
+        for own, kind, raw in rows:
+            ids = np.fromiter((known.setdefault(w, len(known)) for w in raw.split()), np.int32)
+            if not len(ids):
+                continue
+            cut = np.unique(np.lib.stride_tricks.sliding_window_view(ids, min(WINDOW, len(ids)))[window_starts(len(ids))], axis=0)
+            size.append(np.full(len(cut), cut.shape[1]))
+            word.append(cut.ravel())
+            toxic.append(np.full(len(cut), kind))
+            doc.append(np.full(len(cut), own))
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        self.size, self.word, self.toxic = joined(size, np.int64), joined(word, np.int32), joined(toxic, np.int64)
+        self.doc = np.unique(joined(doc, np.int64), return_inverse=True)[1]
         words, buckets, counts = list(known), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 20_000):
             bucket, per_word = grams(words[at : at + 20_000])
@@ -119,14 +135,14 @@ class Windows:
         before = np.concatenate(([-1], self.word[:-1])).astype(np.int64)
         before[np.cumsum(self.size) - self.size] = -1
         bad = np.repeat(self.toxic == 1, self.size)
-        word = np.unique((before[bad] + 1) << 32 | self.word[bad]) & (2**32 - 1)
+        word = distinct((before[bad] + 1) << 32 | self.word[bad]) & (2**32 - 1)
         first, out = np.cumsum(self.per_word) - self.per_word, np.zeros(1 << BITS)
         for at in range(0, len(word), part):
             own = word[at : at + part]
             size = self.per_word[own]
             ends = np.cumsum(size)
             inside = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(first[own], size)
-            pairs = np.unique(np.repeat(np.arange(len(own)), size) << BITS | self.bucket[inside])
+            pairs = distinct(np.repeat(np.arange(len(own)), size) << BITS | self.bucket[inside])
             out += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
         return out
 
@@ -142,12 +158,12 @@ class Windows:
         first = np.cumsum(self.per_word) - self.per_word
         for a, b in zip(edges, edges[1:], strict=False):
             at = order[a:b]
-            pairs = np.unique(doc_of[at] << 32 | self.word[at])
+            pairs = distinct(doc_of[at] << 32 | self.word[at])
             of, word = pairs >> 32, pairs & (2**32 - 1)
             size = self.per_word[word]
             ends = np.cumsum(size)
             inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(first[word], size)
-            pairs = np.unique(np.repeat(of, size) << BITS | self.bucket[inside])
+            pairs = distinct(np.repeat(of, size) << BITS | self.bucket[inside])
             for k in (0, 1):
                 seen[k] += np.bincount(pairs[kind[pairs >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
         good, bad = seen[0], np.minimum(seen[1], self.contexts())
@@ -176,12 +192,20 @@ class Task:
         stays = np.isin(owner, seen)
         owner, gram = np.searchsorted(seen, owner[stays]), gram[stays]
         active, window = np.unique(window, return_inverse=True)
+        size, toxic = sample.size[active], sample.toxic[active]
         share = 0.5 / np.maximum(1, np.bincount(sample.toxic[keep], minlength=2))
         rest = np.bincount(sample.toxic[keep], minlength=2) - np.bincount(sample.toxic[active], minlength=2)
-        toxic = np.append(sample.toxic[active], (0, 1))
-        self.share = np.append(share[sample.toxic[active]], rest * share)
-        self.size = np.append(sample.size[active], (1, 1))[:, None]
-        self.target = np.eye(2)[toxic]
+        # windows of the same words with vectors (told by sums of random numbers), size and kind count as one with their joint weight
+        sign = np.random.default_rng(5).integers(0, 2**63, len(seen), dtype=np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1]))) if len(window) else np.zeros(0, np.int64)
+        key = np.add.reduceat(sign[word], starts) * np.uint64(64) + (2 * size + toxic).astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        stays = np.zeros(len(active), bool)
+        stays[first] = True
+        word, window = word[stays[window]], of[window[stays[window]]]
+        self.share = np.append(np.bincount(of, share[toxic], len(first)), rest * share)
+        self.size = np.append(size[first], (1, 1))[:, None]
+        self.target = np.eye(2)[np.append(toxic[first], (0, 1))]
         self.per_word = sample.per_word[seen][:, None]
         self.to_words, self.to_windows = Sums(gram, owner, len(seen)), Sums(word, window, len(self.target))
         self.back_to_words, self.back_to_grams = Sums(window, word, len(seen)), Sums(owner, gram, int(index.max()) + 1)
@@ -260,26 +284,23 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE[0]).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE[1])).select("doc_id", "toxic")
 
 
-def sampled_windows(chosen: DataFrame) -> list[tuple[int, int, bytes]]:
-    """(doc_id, toxic, words) of the different windows of the sample's texts."""
+def sampled_texts(chosen: DataFrame) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, toxic, words) of the sample's different texts, in order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-                words = words_of(text)
-                rows += [(doc, toxic, b" ".join(words[s : s + WINDOW])) for s in window_starts(len(words)).tolist() if words]
-            d, t, w = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "toxic": pa.array(t, pa.int32()), "words": pa.array(w, pa.binary())})
+            words = [b" ".join(words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(words, pa.binary())})
 
-    found = chosen.mapInArrow(cut, "doc_id long, toxic int, words binary").toArrow()
-    return sorted(set(zip(found["doc_id"].to_pylist(), found["toxic"].to_pylist(), map(bytes, found["words"].to_pylist()), strict=True)))
+    found = chosen.mapInArrow(cut, "doc_id long, toxic int, words binary").distinct().orderBy("doc_id", "toxic", "words").toArrow()
+    for batch in found.to_batches(200):
+        yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words")), strict=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the sample; None without both kinds of label or without a telling n-gram."""
     chosen = written(texts(docs).join(F.broadcast(sample(docs, labels)), "doc_id"), "sample")
-    windows = Windows(sampled_windows(chosen))
+    windows = Windows(sampled_texts(chosen))
     if not len(windows.toxic) or windows.toxic.min() == windows.toxic.max():
         return None
     index = windows.telling()

@@ -624,9 +624,19 @@ def test_gradients_by_finite_differences():
     index = np.full(1 << toxicity.BITS, -1)
     grams = np.unique(sample.bucket[np.repeat(np.arange(len(sample.per_word)), sample.per_word) % 2 == 0])
     index[grams] = np.arange(len(grams))
-    keep = r.random(60) < 0.9
+    keep = r.random(len(sample.size)) < 0.9
     task = toxicity.Task(index, sample, keep)
     assert len(task.target) < keep.sum() and task.share.sum() == pytest.approx(1)
+    # the loss is that of all kept windows, each on its own
+    values = [r.normal(size=(len(grams), toxicity.DIMENSIONS)), r.normal(size=(toxicity.DIMENSIONS, 2)), r.normal(size=2)]
+    first = np.cumsum(sample.per_word) - sample.per_word
+    each = np.array([np.append(values[0], np.zeros((1, toxicity.DIMENSIONS)), axis=0)[index[sample.bucket[a : a + n]]].mean(axis=0) for a, n in zip(first, sample.per_word, strict=True)])
+    total, at = 0.0, np.cumsum(sample.size) - sample.size
+    for i in np.flatnonzero(keep):
+        z = each[sample.word[at[i] : at[i] + sample.size[i]]].mean(axis=0) @ values[1] + values[2]
+        kind = sample.toxic[i]
+        total -= 0.5 / (sample.toxic[keep] == kind).sum() * (z[kind] - np.log(np.exp(z).sum()))
+    assert task.loss(*values) == pytest.approx(total + toxicity.DECAY / 2 * (values[0] ** 2).sum())
     values = [r.normal(size=(len(grams), toxicity.DIMENSIONS)), r.normal(size=(toxicity.DIMENSIONS, 2)), r.normal(size=2)]
     for k, grad in enumerate(task.gradients(*values)):
         for at in [tuple(r.integers(0, n) for n in values[k].shape) for _ in range(12)]:
