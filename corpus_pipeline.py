@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, decontamination, exact_dedup, near_copies, simhash, toxicity
 from quarry.llm.common import new_path, written
+from quarry.sources.shared import released, remove
 
 #: Of the stages, the model of toxicity and XXH64 can't be expressed in SQL.
 ORACLE_SQL = None
@@ -58,10 +59,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for the documents of sf_dir. What a stage wrote besides its rows goes when it is done, and its rows when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
