@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import texts
 from quarry.llm.vocabulary import NONE, Ids, Merges, Vocabulary, byte_symbols, slices, vocabulary
 
+#: Bytes of text that are encoded at once, which bounds what a task holds.
+AT_ONCE = 4_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of more symbols have a tree of their own.
 LONG = 256
@@ -218,7 +220,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         own, back = encoder(path), decoder(path)
         for batch in batches:
             at = 0
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), AT_ONCE):
                 ids, counts = own.of(part)
                 edges = pa.array(np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32))))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(part)), "ids": pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int32))), "decoded": back.decode(ids, counts)})
@@ -235,7 +237,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
         sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
         for batch in batches:
             at = 0
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), AT_ONCE):
                 ids, counts = own.of(part)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(part)), "n_tokens": pa.array(counts), "ids_sha256": sha(back.decimal(ids, counts)), "decoded_sha256": sha(back.decode(ids, counts))})
                 at += len(part)
