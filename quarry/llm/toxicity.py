@@ -119,10 +119,14 @@ class Windows:
             size.append(np.full(len(cut), cut.shape[1]))
             word.append(cut.ravel())
             toxic.append(np.full(len(cut), kind))
-            doc.append(np.full(len(cut), own))
-        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        self.size, self.word, self.toxic = joined(size, np.int64), joined(word, np.int32), joined(toxic, np.int64)
-        self.doc = np.unique(joined(doc, np.int64), return_inverse=True)[1]
+            if not doc or doc[-1][0] != own:
+                number = doc[-1][1] + 1 if doc else 0
+            doc.append((own, number, len(cut)))
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts], dtype=kind, casting="unsafe")
+        self.size, self.word, self.toxic = joined(size, np.int32), joined(word, np.int32), joined(toxic, np.int32)
+        #: The place of each window's text, rising: texts of one doc_id are one.
+        self.doc = np.repeat(np.array([x[1] for x in doc], np.int32), [x[2] for x in doc])
+        word.clear()
         words, buckets, counts = list(known), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 20_000):
             bucket, per_word = grams(words[at : at + 20_000])
@@ -132,10 +136,10 @@ class Windows:
 
     def contexts(self, part: int = 50_000) -> np.ndarray:
         """In how many different words after different words of toxic texts each n-gram occurs: copies of a text add none."""
-        before = np.concatenate(([-1], self.word[:-1])).astype(np.int64)
-        before[np.cumsum(self.size) - self.size] = -1
-        bad = np.repeat(self.toxic == 1, self.size)
-        word = distinct((before[bad] + 1) << 32 | self.word[bad]) & (2**32 - 1)
+        own, size = self.word[np.repeat(self.toxic == 1, self.size)], self.size[self.toxic == 1]
+        before = np.concatenate(([-1], own[:-1])).astype(np.int64)
+        before[np.cumsum(size, dtype=np.int64)[:-1]] = -1
+        word = distinct((before[: len(own)] + 1) << 32 | own) & (2**32 - 1)
         first, out = np.cumsum(self.per_word) - self.per_word, np.zeros(1 << BITS)
         for at in range(0, len(word), part):
             own = word[at : at + part]
@@ -152,17 +156,15 @@ class Windows:
         kind[self.doc] = self.toxic
         n = np.bincount(kind, minlength=2).astype(float)
         seen = np.zeros((2, 1 << BITS))
-        doc_of = np.repeat(self.doc, self.size)
-        order = np.argsort(doc_of, kind="stable")
-        edges = np.searchsorted(doc_of[order], np.arange(0, len(kind) + docs, docs))
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.size, dtype=np.int64)))
+        edges = np.searchsorted(self.doc, np.arange(0, len(kind) + docs, docs))  # of windows
         first = np.cumsum(self.per_word) - self.per_word
         for a, b in zip(edges, edges[1:], strict=False):
-            at = order[a:b]
-            pairs = distinct(doc_of[at] << 32 | self.word[at])
+            pairs = distinct(np.repeat(self.doc[a:b].astype(np.int64), self.size[a:b]) << 32 | self.word[ends[a] : ends[b]])
             of, word = pairs >> 32, pairs & (2**32 - 1)
             size = self.per_word[word]
-            ends = np.cumsum(size)
-            inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(first[word], size)
+            upto = np.cumsum(size)
+            inside = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - size, size) + np.repeat(first[word], size)
             pairs = distinct(np.repeat(of, size) << BITS | self.bucket[inside])
             for k in (0, 1):
                 seen[k] += np.bincount(pairs[kind[pairs >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -170,7 +172,7 @@ class Windows:
         p, q = (bad + 0.5) / (n[1] + 1), (good + 0.5) / (n[0] + 1)
         term = lambda k, m: k * np.log(np.maximum(k, 1) / np.maximum((bad + good) * m / n.sum(), 1e-9))
         chosen = (np.maximum(p / q, q / p) >= FACTOR) & (2 * (term(bad, n[1]) + term(good, n[0])) >= EVIDENCE)
-        return np.where(chosen, np.cumsum(chosen) - 1, -1)
+        return np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
 
 
 class Task:
@@ -181,12 +183,12 @@ class Task:
 
     def __init__(self, index: np.ndarray, sample: Windows, keep: np.ndarray):
         gram = index[sample.bucket]
-        owner = np.repeat(np.arange(len(sample.per_word)), sample.per_word)[gram >= 0]
+        owner = np.repeat(np.arange(len(sample.per_word), dtype=np.int32), sample.per_word)[gram >= 0]
         gram = gram[gram >= 0]
         has = np.zeros(len(sample.per_word), bool)
         has[owner] = True
         used = has[sample.word] & np.repeat(keep, sample.size)
-        window = np.repeat(np.arange(len(sample.size)), sample.size)[used]
+        window = np.repeat(np.arange(len(sample.size), dtype=np.int32), sample.size)[used]
         # words with a vector that stand in a kept window
         seen, word = np.unique(sample.word[used], return_inverse=True)
         stays = np.isin(owner, seen)
@@ -259,9 +261,14 @@ class Model:
 
     def window_margins(self, sample: Windows) -> np.ndarray:
         """The mean score of each window's words."""
-        margin = np.append(self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]), 0.0)[self.index[sample.bucket]]
-        words = np.bincount(np.repeat(np.arange(len(sample.per_word)), sample.per_word), margin, len(sample.per_word)) / np.maximum(sample.per_word, 1)
-        return np.bincount(np.repeat(np.arange(len(sample.size)), sample.size), words[sample.word], len(sample.size)) / sample.size
+        value = np.append(self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]), 0.0)
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sample.per_word)))
+        words = np.empty(len(sample.per_word))
+        for at in range(0, len(words), 20_000):  # each word has an n-gram at least
+            to = min(at + 20_000, len(words))
+            words[at:to] = np.add.reduceat(value[self.index[sample.bucket[ends[at] : ends[to]]]], ends[at:to] - ends[at])
+        words /= sample.per_word
+        return np.add.reduceat(words[sample.word], np.cumsum(sample.size, dtype=np.int64) - sample.size) / sample.size
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
