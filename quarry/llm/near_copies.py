@@ -151,8 +151,10 @@ def first_round(postings: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key", "n", "digest").mapInArrow(run, "a long, b long, key long, n int, pos int")
 
 
-def second_round(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b of candidates in different components. postings: key, a, n, pos; roots: id, component.
+def second_round(postings: DataFrame, roots: DataFrame, told: DataFrame) -> DataFrame:
+    """a, b of candidates in different components. postings: key, a, n, pos; roots: id, component; told: digest, counts (class_counts).
+
+    Pairs are checked by their class counts where they meet, so that only those that may be similar are given out.
 
     Only keys whose sets are in several components go on. Their sets are cut into bands of sizes, two of which can hold
     similar sets if they are neighbours; a band pair of very many sets is cut further into blocks by hash, and each two
@@ -162,11 +164,14 @@ def second_round(postings: DataFrame, roots: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches):
             key, digest, n, pos, component, side = (table[c].to_numpy() for c in ("key", "a", "n", "pos", "component", "side"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            n, pos, counts = n.astype(np.int64), pos.astype(np.int64), table["counts"].to_pylist()
             for at in range(1, len(key), STEPS):
                 i, j = pairs(key, digest, n, pos, component, range(at, min(at + STEPS, len(key))))
                 apart = side[i] * side[j] <= 0  # sets of one block meet where it is with itself
                 i, j = i[apart], j[apart]
+                ok = [may_be_near([counts[k] for k in i[p : p + 5000].tolist()], [counts[k] for k in j[p : p + 5000].tolist()]) for p in range(0, len(i), 5000)]
+                ok = np.concatenate([np.zeros(0, bool), *ok])
+                i, j = i[ok], j[ok]
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(digest[i], digest[j])), "b": pa.array(np.maximum(digest[i], digest[j]))})
                 last = at + STEPS
                 if last >= len(key) or not (key[last:] == key[:-last]).any():
@@ -181,7 +186,8 @@ def second_round(postings: DataFrame, roots: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(-1)
     cell = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(cell.alias("key"), "a", "n", "pos", "component", side.cast("int").alias("side")).repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(run, "a long, b long")
+    ready = dealt.select(cell.alias("key"), "a", "n", "pos", "component", side.cast("int").alias("side")).join(told.withColumnRenamed("digest", "a"), "a")
+    return ready.repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(run, "a long, b long")
 
 
 def checked(candidates: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -225,7 +231,8 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if more.isEmpty():
         drop_path(docs.sparkSession, first)
         return roots
-    again = written(second_round(more, roots).distinct(), "candidates")
+    told = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("counts").alias("counts"))
+    again = written(second_round(more, roots, told).distinct(), "candidates")
     drop_path(docs.sparkSession, first)
     if again.isEmpty():
         return roots
