@@ -19,8 +19,9 @@ def bought(df: DataFrame, tx: str, item: str) -> DataFrame:
 
 
 def baskets(df: DataFrame, tx: str, item: str) -> DataFrame:
-    """tx, items (sorted), size."""
-    return bought(df, tx, item).groupBy("tx").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("size", F.size("items").cast("long"))
+    """tx, items (sorted), size. Rows are dealt out by basket once."""
+    each = df.select(F.col(tx).alias("tx"), F.col(item).alias("item")).where("tx IS NOT NULL AND item IS NOT NULL").repartition("tx").distinct()
+    return each.groupBy("tx").agg(F.sort_array(F.collect_list("item")).alias("items")).withColumn("size", F.size("items").cast("long"))
 
 
 def at_least(pairs: DataFrame, minimum: float) -> DataFrame:
@@ -36,20 +37,29 @@ def item_support(df: DataFrame, tx: str, item: str, minimum: float) -> DataFrame
     return counts.crossJoin(at_least(pairs, minimum)).where("n >= least").select("item", "n", ratio(F.col("n"), F.col("n_tx")).alias("support"))
 
 
+def grouped(kept: DataFrame) -> DataFrame:
+    """items (sorted) of each basket. kept: distinct tx, item."""
+    return kept.groupBy("tx").agg(F.sort_array(F.collect_list("item")).alias("items")).select("items")
+
+
+def pairs_within(baskets_: DataFrame) -> DataFrame:
+    """a < b of the sorted items of each basket, made in place."""
+    return baskets_.select("items", F.posexplode("items").alias("__at", "a")).select("a", F.explode(F.slice("items", F.col("__at") + 2, F.size("items"))).alias("b"))
+
+
 def pair_counts(kept: DataFrame, block: int) -> DataFrame:
     """a < b, n: in how many baskets both are. kept: distinct tx, item.
 
-    The items of a basket of more than `block` are dealt into blocks by hash; each two blocks of it are a key of their
-    own, so no task pairs more than block^2 or so items of one basket, and every pair still meets once.
+    A basket is paired in place, so its pairs are counted before any shuffle. The items of a basket of more than `block`
+    are dealt into blocks by hash; each two blocks of it are a key of their own, so no task pairs more than block^2 or so
+    items of one basket, and every pair still meets once.
     """
     sizes = kept.groupBy("tx").agg(F.count("*").alias("__size")).where(F.col("__size") > block)
     side = lambda df, name, *more: df.select("tx", *more, F.col("item").alias(name))
     large = written(sizes, "large-baskets")
     if large.isEmpty():
-        met = side(kept, "a").join(side(kept, "b"), "tx").where("a < b").select("a", "b")
-        return met.groupBy("a", "b").agg(F.count("*").alias("n"))
-    rest = kept.join(large, "tx", "left_anti")
-    met = side(rest, "a").join(side(rest, "b"), "tx").where("a < b").select("a", "b")
+        return pairs_within(grouped(kept)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = pairs_within(grouped(kept.join(large, "tx", "left_anti")))
     many = kept.join(large, "tx").withColumn("__blocks", F.ceil(F.col("__size") / block)).withColumn("__own", F.pmod(F.xxhash64("item"), F.col("__blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
     dealt = many.withColumn("__other", other).withColumns({"__i": F.least("__own", "__other"), "__j": F.greatest("__own", "__other")})
@@ -122,8 +132,16 @@ def itemset_rules(df: DataFrame, tx: str, item: str, minimum: float, confidence:
 
 
 def recommend(baskets_: DataFrame, rules: DataFrame, n: int) -> DataFrame:
-    """tx, item, score, place: the best consequents (by confidence, then name) of items in each basket that it lacks."""
-    each = baskets_.select("tx", F.explode("items").alias("antecedent"))
-    offered = each.join(rules.select("antecedent", F.col("consequent").alias("item"), "confidence"), "antecedent").groupBy("tx", "item").agg(F.max("confidence").alias("score"))
-    new = offered.join(each.select("tx", F.col("antecedent").alias("item")), ["tx", "item"], "left_anti")
+    """tx, item, score, place: the best consequents (by confidence, then name) of items in each basket that it lacks.
+
+    No more than n of what an item offers and its basket lacks can be among the basket's best n, and these are among the
+    first n + size of the item's list. So a basket's rows are bounded by n times its size, however many rules there are.
+    """
+    best = written(rules.groupBy("antecedent", F.col("consequent").alias("item")).agg(F.max("confidence").alias("score")), "best-rules")
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "item")))
+    offers = written(best.groupBy("antecedent").agg(listed["item"].alias("__offered")), "offers")
+    each = baskets_.select("tx", "items", F.explode("items").alias("antecedent")).join(offers, "antecedent")
+    lacking = F.slice(F.array_except(F.slice("__offered", 1, F.size("items") + n), "items"), 1, n)
+    offered = each.select("tx", "antecedent", F.explode(lacking).alias("item")).join(best, ["antecedent", "item"])
+    new = offered.groupBy("tx", "item").agg(F.max("score").alias("score"))
     return new.withColumn("place", F.row_number().over(Window.partitionBy("tx").orderBy(F.col("score").desc(), "item"))).where(F.col("place") <= n)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -149,6 +150,31 @@ def test_a_basket_of_thousands_of_items(spark):
     assert (got.n, got.most) == (n * (n - 1) // 2, 1)
 
 
+def some_baskets(spark, n=60):
+    r = random.Random(5)
+    held = {t: sorted({f"i{min(r.randrange(9), r.randrange(9))}" for _ in range(r.randrange(1, 8))}) for t in range(n)}
+    df = spark.createDataFrame([(t, i) for t, items in held.items() for i in [*items, items[0]]] + [(None, "i1"), (1, None)], "tx long, item string")
+    return held, df
+
+
+def test_recommendations_are_cut_before_they_are_grouped(spark):
+    held, df = some_baskets(spark)
+    r = random.Random(6)
+    made = {(f"i{a}", f"i{b}"): r.randrange(1, 6) / 8 for a in range(9) for b in range(30) if a != b and r.random() < 0.8}
+    offered = spark.createDataFrame([(a, b, c) for (a, b), c in made.items()], "antecedent string, consequent string, confidence double")
+    got = rules.recommend(rules.baskets(df, "tx", "item"), offered, 3)
+    want = []
+    for t, items in held.items():
+        best = {}
+        for (a, b), c in made.items():
+            if a in items and b not in items:
+                best[b] = max(best.get(b, 0), c)
+        want += [(t, b, c, i + 1) for i, (b, c) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3])]
+    assert sorted(map(tuple, got.select("tx", "item", "score", "place").collect())) == sorted(want)
+    assert not re.search(r"hashpartitioning\(tx#\d+L?, item#", plan(got))  # baskets stay where they are, and offers aren't shuffled
+    assert "LeftAnti" not in plan(got)
+
+
 # isolation forest
 
 
