@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +108,37 @@ def pair_rules(df: DataFrame, tx: str, item: str, minimum: float, block: int = B
     return told.select("n", "support", ways.alias("w")).select("n", "support", "w.*").select("antecedent", "consequent", "n", "support", *measures("support", "left", "right"))
 
 
+def extended(found: DataFrame) -> DataFrame:
+    """items, rest (what the basket has after them) with one more item, for each of rest."""
+    each = found.where(F.size("rest") > 0).select("items", "rest", F.posexplode("rest").alias("__at", "__item"))
+    return each.select(F.concat("items", F.array("__item")).alias("items"), F.slice("rest", F.col("__at") + 2, F.size("rest")).alias("rest"))
+
+
+def itemsets(df: DataFrame, tx: str, item: str, minimum: float) -> tuple[DataFrame, DataFrame]:
+    """items (sorted array), n of all itemsets in at least `minimum` baskets, written by size, and the row of at_least.
+
+    Sets grow item by item within the baskets' frequent items: a set is extended where it is in a basket and frequent, and
+    counted in place before the shuffle. A set can only be frequent if it is so without its first item, too.
+    """
+    pairs, limits, single = counted(df, tx, item, minimum)
+    kept = written(grouped(pairs.join(single.select("item"), "item", "left_semi")), "frequent-baskets")
+    levels = [single.select(F.array("item").alias("items"), "n")]
+    found = extended(kept.select(F.array().cast(kept.schema["items"].dataType).alias("items"), F.col("items").alias("rest")))
+    while True:
+        known = levels[-1].select("items")
+        longer = extended(found)
+        size = len(levels) + 1
+        if size > 2:
+            longer = longer.join(known.select(F.col("items").alias("__tail")), F.slice("items", 2, size - 1) == F.col("__tail"), "left_semi")
+        counts = longer.groupBy("items").agg(F.count("*").alias("n"))
+        level = written(counts.crossJoin(limits).where("n >= least").select("items", "n"), f"itemsets-{size}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        found = longer.join(level.select("items"), "items", "left_semi")
+    return reduce(DataFrame.unionByName, levels), limits
+
+
 def model(df: DataFrame, tx: str, item: str, minimum: float, confidence: float = 0.0):
     """The fitted FP-growth and the number of baskets."""
     made = baskets(df, tx, item).cache()
@@ -124,11 +157,14 @@ def frequent_itemsets(df: DataFrame, tx: str, item: str, minimum: float) -> Data
 
 def itemset_rules(df: DataFrame, tx: str, item: str, minimum: float, confidence: float) -> DataFrame:
     """antecedent (array), consequent, and the measures of pair_rules, of rules with one consequent."""
-    fitted, n = model(df, tx, item, minimum, confidence)
-    rules = fitted.associationRules.select(F.array_sort("antecedent").alias("antecedent"), F.col("consequent")[0].alias("consequent"), "confidence", "support")
-    single = fitted.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("consequent"), (F.col("freq") / F.lit(float(max(1, n)))).alias("right"))
-    left = ratio(F.col("support"), F.col("confidence"))
-    return rules.join(single, "consequent").withColumn("left", left).select("antecedent", "consequent", "support", *measures("support", "left", "right"))
+    found, limits = itemsets(df, tx, item, minimum)
+    sets = written(found.crossJoin(limits).select("items", "n", ratio(F.col("n"), F.col("n_tx")).alias("support")), "itemsets")
+    each = sets.where(F.size("items") > 1).select("n", "support", "items", F.explode("items").alias("consequent"))
+    each = each.select("n", "support", F.array_remove("items", F.col("consequent")).alias("antecedent"), "consequent")
+    left = sets.select(F.col("items").alias("antecedent"), F.col("n").alias("__n"), F.col("support").alias("left"))
+    right = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("consequent"), F.col("support").alias("right"))
+    rules = each.join(left, "antecedent").where(F.col("n") / F.col("__n") >= confidence).join(right, "consequent")
+    return rules.select("antecedent", "consequent", "support", *measures("support", "left", "right"))
 
 
 def recommend(baskets_: DataFrame, rules: DataFrame, n: int) -> DataFrame:

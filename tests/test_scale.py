@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -175,6 +176,28 @@ def test_recommendations_are_cut_before_they_are_grouped(spark):
     assert "LeftAnti" not in plan(got)
 
 
+def brute_sets(held, least):
+    items = sorted({i for b in held.values() for i in b})
+    found = {c: sum(set(c) <= set(b) for b in held.values()) for k in range(1, 8) for c in combinations(items, k)}
+    return {c: n for c, n in found.items() if n >= least}
+
+
+def test_rules_of_itemsets(spark):
+    held, df = some_baskets(spark)
+    n, sets = len(held), brute_sets(held, 4)
+    want = {}
+    for c, joint in sets.items():
+        for x in c if len(c) > 1 else ():
+            a = tuple(i for i in c if i != x)
+            if joint / sets[a] >= 0.5:
+                want[a, x] = (joint / n, joint / sets[a], joint * n / (sets[a] * sets[x,]))
+    got = rules.itemset_rules(df, "tx", "item", 4, 0.5)
+    told = {(tuple(r["antecedent"]), r["consequent"]): (r["support"], r["confidence"], r["lift"]) for r in got.collect()}
+    assert set(told) == set(want) and len(want) > 20
+    assert all(told[k] == pytest.approx(want[k]) for k in want)
+    assert "ExistingRDD" not in plan(got)
+
+
 # isolation forest
 
 
