@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,20 +138,10 @@ def itemsets(df: DataFrame, tx: str, item: str, minimum: float) -> tuple[DataFra
     return reduce(DataFrame.unionByName, levels), limits
 
 
-def model(df: DataFrame, tx: str, item: str, minimum: float, confidence: float = 0.0):
-    """The fitted FP-growth and the number of baskets."""
-    made = baskets(df, tx, item).cache()
-    n = made.count()
-    share = minimum if minimum < 1 else (minimum - 0.5) / max(1, n)
-    fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=confidence).fit(made)
-    made.unpersist()
-    return fitted, n
-
-
 def frequent_itemsets(df: DataFrame, tx: str, item: str, minimum: float) -> DataFrame:
     """items (sorted), size, n, support of all itemsets in at least `minimum` baskets."""
-    fitted, n = model(df, tx, item, minimum)
-    return fitted.freqItemsets.select(F.array_sort("items").alias("items"), F.size("items").alias("size"), F.col("freq").alias("n"), (F.col("freq") / F.lit(float(max(1, n)))).alias("support"))
+    sets, limits = itemsets(df, tx, item, minimum)
+    return sets.crossJoin(limits).select("items", F.size("items").alias("size"), "n", ratio(F.col("n"), F.col("n_tx")).alias("support"))
 
 
 def itemset_rules(df: DataFrame, tx: str, item: str, minimum: float, confidence: float) -> DataFrame:

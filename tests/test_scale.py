@@ -182,6 +182,16 @@ def brute_sets(held, least):
     return {c: n for c, n in found.items() if n >= least}
 
 
+@pytest.mark.parametrize("minimum", [4, 0.1, 61])
+def test_itemsets_of_any_size_are_counted_in_place(spark, minimum):
+    held, df = some_baskets(spark)
+    want = brute_sets(held, minimum if minimum >= 1 else math.ceil(minimum * len(held)))
+    got = rules.frequent_itemsets(df, "tx", "item", minimum)
+    assert {tuple(r["items"]): (r["size"], r["n"], r["support"]) for r in got.collect()} == {c: (len(c), n, n / len(held)) for c, n in want.items()}
+    assert got.count() == len(want) and (minimum > 60 or max(map(len, want)) >= 4)
+    assert "ExistingRDD" not in plan(got)  # no trees of whole shares of the baskets, made anew for each reader
+
+
 def test_rules_of_itemsets(spark):
     held, df = some_baskets(spark)
     n, sets = len(held), brute_sets(held, 4)
