@@ -60,10 +60,10 @@ def mahalanobis(df: DataFrame, cols: list[str], t: float) -> DataFrame:
 
 
 def centroid_outliers(df: DataFrame, cols: list[str], centroids: list[list[float]], p: float) -> DataFrame:
-    """assign_centroid with flag for distances over the cluster's p-percentile."""
+    """assign_centroid with flag for distances over the cluster's p-percentile. There is a cut per centroid, so they go to all tasks and the rows stay where they are."""
     near = assign_centroid(df, cols, centroids)
     cut = quantiles(near, "distance", [p], ["cluster"]).select("cluster", F.col("q")[0].alias("cut"))
-    return near.join(cut, "cluster").withColumn("flag", F.col("distance") > F.col("cut"))
+    return near.join(F.broadcast(cut), "cluster").withColumn("flag", F.col("distance") > F.col("cut"))
 
 
 def rare_values(df: DataFrame, col: str, floor: float) -> DataFrame:

@@ -132,6 +132,24 @@ def test_smoothing_in_chunks_equals_the_fold(spark, n, chunk):
         close(e(chunk), e(10**6))
 
 
+def test_cuts_of_clusters_are_sent_to_the_rows(spark):
+    """A join by cluster would deal all rows out to as many tasks as there are centroids."""
+    line = table(spark, SF, "lineitem")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = anomaly.centroid_outliers(line, ["l_quantity", "l_extendedprice"], modelling.CENTROIDS, 0.99)
+        got = {(r.cluster, r.cut): r.n for r in found.groupBy("cluster", "cut").agg(F.count_if("flag").alias("n")).collect()}
+        shown = plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and "ShuffledHashJoin" not in shown
+    near = segments.assign_centroid(line, ["l_quantity", "l_extendedprice"], modelling.CENTROIDS).toPandas()
+    for (c, cut), n in got.items():
+        of = near[near["cluster"] == c]["distance"]
+        assert cut == pytest.approx(of.quantile(0.99)) and n == int((of > cut).sum())
+
+
 # baskets
 
 
