@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def words(text: str):
     """Maximal runs of letters, lower-cased."""
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
@@ -45,7 +44,7 @@ def probabilities(model: tuple[DataFrame, DataFrame, int], k: float) -> DataFram
 def perplexity(df: DataFrame, key: str, text: str, model: tuple[DataFrame, DataFrame, int], k: float) -> DataFrame:
     """key, n_bigrams, perplexity of each document with a bigram; words that the model lacks share one token."""
     pairs, first, v = model
-    seen = gram_rows(df, key, text, 2).groupBy(key, "w0", "w1").agg(F.count("*").alias("m"))
     p = (F.coalesce("n", F.lit(0)) + k) / (F.coalesce("n0", F.lit(0)) + k * v)
-    scored = seen.join(pairs, ["w0", "w1"], "left").join(first, "w0", "left").withColumn("ln", F.ln(p) * F.col("m"))
-    return scored.groupBy(key).agg(F.sum("m").alias("n_bigrams"), F.exp(-F.sum("ln") / F.sum("m")).alias("perplexity"))
+    seen = gram_rows(df, key, text, 2).join(first, "w0", "left").select(key, "w0", "w1", "n0")
+    scored = seen.join(pairs, ["w0", "w1"], "left").withColumn("ln", F.ln(p))
+    return scored.groupBy(key).agg(F.count("*").alias("n_bigrams"), F.exp(-F.avg("ln")).alias("perplexity"))
