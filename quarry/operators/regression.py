@@ -46,17 +46,36 @@ def linear_fit(df: DataFrame, xs: list[str], y: str, reg: float = 0.0) -> Pipeli
     return PipelineModel([ready, model])
 
 
+def alike(df: DataFrame, xs: list[str], y: str, by: list[str] = ()) -> DataFrame:
+    """by, xs, y, weight: rows that are equal in by and xs as two, of mean less and plus deviation of y, with half their number as weight each.
+
+    Their number, sum and sum of squares of y stay, which is all that least squares, splits by variance and squared errors
+    take from such rows. One y leaves one row. Rows with a null in xs or y are left out.
+    """
+    keys = list(dict.fromkeys([*by, *xs]))
+    groups = df.dropna(subset=[*xs, y]).groupBy(*keys).agg(F.count("*").alias("__n"), F.avg(y).alias("__m"), F.stddev_pop(y).alias("__s"))
+    sides = F.when(F.col("__s") > 0, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))
+    both = groups.withColumn("__sides", sides).withColumn("__side", F.explode("__sides"))
+    return both.select(*keys, (F.col("__m") + F.col("__side") * F.col("__s")).alias(y), (F.col("__n") / F.size("__sides")).alias("weight"))
+
+
 def tree_fit(df: DataFrame, xs: list[str], y: str, kind: str = "boosted", seed: int = 7) -> PipelineModel:
-    """Boosted trees or a random forest."""
+    """Boosted trees or a random forest. Boosting goes over rows many times, so it takes those of alike(); a forest draws single rows."""
     ready = VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="skip")
-    made = GBTRegressor(labelCol=y, seed=seed, maxIter=20, maxDepth=4) if kind == "boosted" else RandomForestRegressor(labelCol=y, seed=seed, numTrees=20, maxDepth=8)
+    if kind == "boosted":
+        rows = ready.transform(alike(df, xs, y)).select("features", y, "weight").cache()
+        fitted = GBTRegressor(labelCol=y, weightCol="weight", seed=seed, maxIter=20, maxDepth=4).fit(rows)
+        rows.unpersist()
+        return PipelineModel([ready, fitted])
+    made = RandomForestRegressor(labelCol=y, seed=seed, numTrees=20, maxDepth=8)
     return PipelineModel([ready, made.fit(ready.transform(df))])
 
 
-def mean_baseline(train: DataFrame, test: DataFrame, by: list[str], y: str) -> DataFrame:
-    """test with yhat: the mean of y over the training rows of the same group, or over all of them for a new group."""
-    groups = train.groupBy(*by).agg(F.avg(y).alias("group_mean"))
-    overall = one_row(train.agg(F.avg(y).alias("overall_mean")))
+def mean_baseline(train: DataFrame, test: DataFrame, by: list[str], y: str, weight: str | None = None) -> DataFrame:
+    """test with yhat: the mean of y (weighted by a column) over the training rows of the same group, or over all of them for a new group."""
+    mean = F.sum(F.col(weight) * F.col(y)) / F.sum(weight) if weight else F.avg(y)
+    groups = train.groupBy(*by).agg(mean.alias("group_mean"))
+    overall = one_row(train.agg(mean.alias("overall_mean")))
     return test.join(groups, by, "left").crossJoin(overall).withColumn("yhat", F.coalesce("group_mean", "overall_mean")).drop("group_mean", "overall_mean")
 
 
