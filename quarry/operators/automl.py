@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.columns import one_row
 from quarry.functions.ordered import positions
-from quarry.operators.regression import hash_split, mean_baseline, regression_metrics
+from quarry.operators.regression import alike, hash_split, mean_baseline, regression_metrics
 from quarry.sources.shared import written
 
 
@@ -57,17 +58,44 @@ def named(params: dict) -> str:
     return str({p.name: v for p, v in params.items()})
 
 
+def by_moments(estimator, grid: dict) -> bool:
+    """Whether all fits of a candidate take from rows of equal features only the number, sum and sum of squares of labels, as alike() keeps them."""
+    made = [estimator.copy(m) for m in settings(estimator, grid)]
+    if isinstance(estimator, LinearRegression):
+        return all(e.getLoss() == "squaredError" for e in made)
+    return isinstance(estimator, DecisionTreeRegressor) and all(e.getMinInstancesPerNode() == 1 for e in made)
+
+
+def weighed(df: DataFrame, y: str, candidates: dict, features: list[str], by: list[str]) -> DataFrame:
+    """by, features (a vector), y, weight of the rows that all candidates are fitted on: those of alike() where that changes no fit."""
+    if all(by_moments(*c) for c in candidates.values()):
+        rows = alike(df, features, y, by)
+    else:
+        rows = df.select(*dict.fromkeys([*by, *features, y]), F.lit(1.0).alias("weight"))
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows).select(*by, "features", y, "weight")
+
+
+def labelled(estimator, y: str, more: dict | None = None):
+    """The estimator with its label, and the weights if it takes any."""
+    return estimator.copy({estimator.labelCol: y} | ({estimator.weightCol: "weight"} if estimator.hasParam("weightCol") else {}) | (more or {}))
+
+
+def weighed_rmse(df: DataFrame, y: str, yhat: str) -> float:
+    e = F.col(y) - F.col(yhat)
+    return float(df.agg(F.sqrt(F.sum(F.col("weight") * e * e) / F.sum("weight"))).first()[0])
+
+
 def cross_validate(df: DataFrame, y: str, key: str, candidates: dict, k: int, features: list[str], by: list[str]) -> DataFrame:
     """model, params, mean_rmse, sd_rmse over k folds fixed by the key. candidates: name -> (estimator, {param: values}).
 
-    The group-mean baseline (over `by`) is scored on the same folds.
+    The group-mean baseline (over `by`) is scored on the same folds. Fits and scores go over the rows of weighed().
     """
-    folds = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(hash_split(df, key, k)).cache()
+    folds = weighed(hash_split(df, key, k), y, candidates, features, ["fold", *by]).cache()
     rows = []
     for name, (estimator, grid) in candidates.items():
-        made = CrossValidator(estimator=estimator.copy({estimator.labelCol: y}), estimatorParamMaps=settings(estimator, grid), evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"), numFolds=k, foldCol="fold").fit(folds)
+        made = CrossValidator(estimator=labelled(estimator, y), estimatorParamMaps=settings(estimator, grid), evaluator=RegressionEvaluator(labelCol=y, metricName="rmse", weightCol="weight"), numFolds=k, foldCol="fold").fit(folds)
         rows += [(name, named(m), float(a), float(s)) for m, a, s in zip(made.getEstimatorParamMaps(), made.avgMetrics, made.stdMetrics, strict=True)]
-    scores = [regression_metrics(mean_baseline(folds.where(F.col("fold") != f), folds.where(F.col("fold") == f), by, y), y, "yhat").first()["rmse"] for f in range(k)]
+    scores = [weighed_rmse(mean_baseline(folds.where(F.col("fold") != f), folds.where(F.col("fold") == f), by, y, "weight"), y, "yhat") for f in range(k)]
     mean = sum(scores) / k
     rows.append(("group mean", "{}", mean, (sum((s - mean) ** 2 for s in scores) / k) ** 0.5))
     folds.unpersist()
