@@ -150,11 +150,9 @@ def linear_cross_validate(df: DataFrame, y: str, xs: list[str], key: str, regs:
 
 def holdout_scores(train: DataFrame, test: DataFrame, y: str, candidates: dict, features: list[str], by: list[str]) -> DataFrame:
     """model, params, holdout_rmse of the candidates and of the group-mean baseline, fitted on train and scored on test."""
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    known, unseen = (ready.transform(df).cache() for df in (train, test))
-    rmse = lambda scored, yhat: float(regression_metrics(scored, y, yhat).first()["rmse"])
-    rows = [(name, named(m), rmse(estimator.copy({estimator.labelCol: y} | m).fit(known).transform(unseen), "prediction")) for name, (estimator, grid) in candidates.items() for m in settings(estimator, grid)]
-    rows.append(("group mean", "{}", rmse(mean_baseline(known, unseen, by, y), "yhat")))
+    known, unseen = (weighed(df, y, candidates, features, by).cache() for df in (train, test))
+    rows = [(name, named(m), weighed_rmse(labelled(estimator, y, m).fit(known).transform(unseen), y, "prediction")) for name, (estimator, grid) in candidates.items() for m in settings(estimator, grid)]
+    rows.append(("group mean", "{}", weighed_rmse(mean_baseline(known, unseen, by, y, "weight"), y, "yhat")))
     known.unpersist()
     unseen.unpersist()
     return train.sparkSession.createDataFrame(rows, "model string, params string, holdout_rmse double")
