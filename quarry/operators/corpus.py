@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import written
+
 
 def words(text: str):
     """Maximal runs of letters, lower-cased."""
@@ -17,10 +19,10 @@ def vocabulary(df: DataFrame, text: str, minimum: int = 1) -> DataFrame:
 
 
 def gram_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, gram (words with a space between) of each n-gram, repeats included."""
-    w = df.select(key, words(text).alias("w")).where(F.size("w") >= n)
-    shifted = F.arrays_zip(*[F.slice("w", i + 1, F.size("w") - n + 1).alias(f"w{i}") for i in range(n)])
-    return w.select(key, F.explode(shifted).alias("g")).select(key, *[F.col("g").getField(f"w{i}").alias(f"w{i}") for i in range(n)])
+    """key, w0, w1, ... of each n-gram, repeats included."""
+    w = df.select(key, words(text).alias("w"))
+    each = w.select(key, "w", F.posexplode("w").alias("__at", "w0")).where(F.col("__at") <= F.size("w") - n)
+    return each.select(key, "w0", *[F.get("w", F.col("__at") + i).alias(f"w{i}") for i in range(1, n)])
 
 
 def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -30,9 +32,14 @@ def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def bigram_model(df: DataFrame, key: str, text: str, k: float) -> tuple[DataFrame, DataFrame, int]:
-    """The model: bigram counts (w0, w1, n), counts of first words (w0, n0), and the number of words with one for unseen ones."""
-    pairs = ngrams(df, key, text, 2)
-    return pairs, pairs.groupBy("w0").agg(F.sum("n").alias("n0")), vocabulary(df, text).count() + 1
+    """The model: bigram counts (w0, w1, n), counts of first words (w0, n0), and the number of words with one for unseen ones.
+
+    Texts are read once: each word is counted with the next one (null after the last), and these counts are written.
+    """
+    w = df.select(words(text).alias("w")).select("w", F.posexplode("w").alias("__at", "w0")).select("w0", F.get("w", F.col("__at") + 1).alias("w1"))
+    counts = written(w.groupBy("w0", "w1").agg(F.count("*").alias("n")), "bigrams")
+    each = written(counts.groupBy("w0").agg(F.sum(F.when(F.col("w1").isNotNull(), F.col("n"))).alias("n0")), "first-words")
+    return counts.where("w1 IS NOT NULL"), each.where("n0 IS NOT NULL"), each.count() + 1
 
 
 def probabilities(model: tuple[DataFrame, DataFrame, int], k: float) -> DataFrame:

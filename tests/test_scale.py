@@ -10,13 +10,13 @@ import pandas as pd
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import ordered
-from quarry.operators import anomaly, audit, automl, charts, forecast, prep, rules, segments
+from quarry.operators import anomaly, audit, automl, charts, corpus, forecast, prep, regression, rules, segments
 from quarry.operators.regression import hash_split
 from quarry.plans import audited_regression, modelling  # noqa: F401
 from quarry.sources.tables import table, tables
@@ -338,3 +338,68 @@ def test_encoding_keeps_rows_without_a_fold(spark):
     df = spark.createDataFrame([("a", 1.0, 0), ("a", 3.0, 1), ("a", 5.0, None), (None, 7.0, 1)], "k string, y double, f int")
     got = {(r.k, r.f): r.encoded for r in prep.target_encode(df, "k", "y", "f", 1.0).collect()}
     assert got == {("a", 0): pytest.approx((8 + 5) / 3), ("a", 1): pytest.approx((6 + 3) / 3), ("a", None): pytest.approx((4 + 11 / 3) / 3), (None, 1): pytest.approx(3.0)}
+
+
+# rows of equal features
+
+
+def test_alike_rows_keep_number_sum_and_sum_of_squares(spark):
+    df = spark.createDataFrame([(1, 0.5, 1.0), (1, 0.5, 4.0), (1, 0.5, 4.0), (2, 0.5, 7.0), (None, 0.5, 3.0), (None, 0.5, 3.0), (1, None, 9.0), (1, 0.5, None)], "g int, x double, y double")
+    got = regression.alike(df, ["x"], "y", ["g"])
+    sums = {r.g: (r.n, r.s, r.q) for r in got.groupBy("g").agg(F.sum("weight").alias("n"), F.sum(F.expr("weight * y")).alias("s"), F.sum(F.expr("weight * y * y")).alias("q")).collect()}
+    assert sums == {1: pytest.approx((3, 9, 33)), 2: pytest.approx((1, 7, 49)), None: pytest.approx((2, 6, 18))}
+    assert got.count() == 4
+
+
+def test_fits_over_alike_rows_are_those_over_all(spark):
+    """Columns of at most 32 values, whose thresholds Spark doesn't draw."""
+    df = spark.range(4000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11 / 11).alias("b"), (F.col("id") % 3).alias("g"))
+    df = df.withColumn("y", 3 * F.col("a") - 2 * F.col("b") + modelling.uniform("id", "n"))
+    candidates = {"linear": (LinearRegression(solver="normal"), {"regParam": [0.0, 1.0]}), "tree": (DecisionTreeRegressor(seed=7), {"maxDepth": [2, 4]})}
+    assert automl.weighed(df, "y", candidates, ["a", "b"], ["g"]).count() == 2 * 7 * 11 * 3
+    got = {(r.model, r.params): (r.mean_rmse, r.sd_rmse) for r in automl.cross_validate(df, "y", "id", candidates, 3, ["a", "b"], ["g"]).collect()}
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(hash_split(df, "id", 3))
+    for name, (estimator, grid) in candidates.items():
+        made = CrossValidator(estimator=estimator.copy({estimator.labelCol: "y"}), estimatorParamMaps=automl.settings(estimator, grid), evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"), numFolds=3, foldCol="fold").fit(rows)
+        for m, a, d in zip(made.getEstimatorParamMaps(), made.avgMetrics, made.stdMetrics, strict=True):
+            assert got[name, automl.named(m)] == pytest.approx((a, d), rel=1e-6, abs=1e-9)
+    errors = [regression.regression_metrics(regression.mean_baseline(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f), ["g"], "y"), "y", "yhat").first()["rmse"] for f in range(3)]
+    assert got["group mean", "{}"] == pytest.approx((np.mean(errors), np.std(errors)))
+    train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    held = {(r.model, r.params): r.holdout_rmse for r in automl.holdout_scores(train, test, "y", candidates, ["a", "b"], ["g"]).collect()}
+    plain = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    scored = DecisionTreeRegressor(labelCol="y", seed=7, maxDepth=4).fit(plain.transform(train)).transform(plain.transform(test))
+    assert held["tree", "{'maxDepth': 4}"] == pytest.approx(regression.regression_metrics(scored, "y", "prediction").first()["rmse"])
+
+
+def test_candidates_that_need_single_rows_get_them(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("y"), F.lit(1).alias("g"))
+    candidates = {"tree": (DecisionTreeRegressor(seed=7), {"minInstancesPerNode": [1, 50]})}
+    rows = automl.weighed(df, "y", candidates, ["a"], ["g"])
+    assert rows.count() == 300 and rows.agg(F.sum("weight")).first()[0] == 300
+    assert automl.cross_validate(df, "y", "id", candidates, 3, ["a"], ["g"]).count() == 3
+
+
+def test_boosting_goes_over_alike_rows(spark):
+    df = spark.range(2000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 7 * 2 + F.col("id") % 5 + modelling.uniform("id", "n")).alias("y"))
+    model = regression.tree_fit(df, ["a", "b"], "y")
+    assert model.stages[-1].getWeightCol() == "weight"
+    plain = GBTRegressor(labelCol="y", seed=7, maxIter=20, maxDepth=4).fit(model.stages[0].transform(df))
+    known = model.stages[0].transform(df.select("a", "b").distinct())
+    want = {(r.a, r.b): r.prediction for r in plain.transform(known).collect()}
+    assert {(r.a, r.b): r.prediction for r in model.stages[-1].transform(known).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+# texts
+
+
+def test_texts_are_read_once_for_a_bigram_model(spark):
+    df = spark.createDataFrame([(1, "a b a b c"), (2, "d"), (3, None), (4, "B a")], "k int, t string")
+    model = corpus.bigram_model(df, "k", "t", 0.5)
+    made = corpus.probabilities(model, 0.5)
+    assert "regexp" not in plan(made)  # from written counts
+    assert {(r.w0, r.w1): r.p for r in made.collect()} == {("a", "b"): pytest.approx(2.5 / 4.5), ("b", "a"): pytest.approx(2.5 / 5.5), ("b", "c"): pytest.approx(1.5 / 5.5)}
+    assert model[2] == 5
+    got = corpus.perplexity(spark.createDataFrame([(9, "a b a z"), (8, "x")], "k int, t string"), "k", "t", model, 0.5)
+    assert [(r.k, r.n_bigrams, r.perplexity) for r in got.collect()] == [(9, 3, pytest.approx((2.5 / 4.5 * 2.5 / 5.5 * 0.5 / 4.5) ** (-1 / 3)))]
+    assert not re.search(r"hashpartitioning\(k#\d+L?, w0#", plan(got))  # a shuffle less
