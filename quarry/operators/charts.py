@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import one_row, ratio, with_stats
 from quarry.functions.ordered import quantiles, running
 from quarry.functions.sketches import rank_error
+from quarry.sources.shared import written
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, n: int) -> DataFrame:
@@ -49,17 +50,33 @@ def ecdf_sketched(df: DataFrame, col: str, shares: list[float], k: int = 4000) -
     return made.where(F.kll_sketch_get_n_double("__s") > 0).select(F.explode(F.arrays_zip(at.alias("asked"), F.kll_sketch_get_quantile_double("__s", at).alias("value"))).alias("x")).select("x.asked", "x.value", F.lit(rank_error(k)).alias("error"))
 
 
+def to_rank(base: DataFrame, cols: list[str], often: dict[int, dict[float, float]]) -> DataFrame:
+    """__row, c, v, known: a row of each value of base whose rank isn't in `often` (column's place -> value -> rank), and one (c is -1, v the row's own) of the ranks known from it."""
+    look = lambda i, c: F.try_element_at(F.create_map(*[F.lit(x) for pair in often[i].items() for x in pair]), F.col(c)) if often.get(i) else F.lit(None).cast("double")
+    known = base.select("__row", *cols, F.array(*[look(i, c) for i, c in enumerate(cols)]).alias("known"))
+    none = F.lit(None).cast("array<double>")
+    own = F.struct(F.lit(-1).alias("c"), F.col("__row").cast("double").alias("v"), F.col("known"))
+    each = [F.struct(F.lit(i).alias("c"), F.when(F.col("known")[i].isNull(), F.col(c)).alias("v"), none.alias("known")) for i, c in enumerate(cols)]
+    return known.select("__row", F.explode(F.array(own, *each)).alias("x")).select("__row", "x.*").where("v IS NOT NULL")
+
+
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     """cols as average ranks; rows with a null don't count.
 
     All columns are ranked together: their values in long form, counted, put in order by one range exchange, and joined
-    back and regrouped by row once.
+    back and regrouped by row once. Values of a hundredth of the rows or more, at most 100 a column, are looked up
+    instead, so no task of the join gets a common value.
     """
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna().withColumn("__row", F.monotonically_increasing_id())
-    long = base.select("__row", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("x")).select("__row", "x.*")
-    counts = long.groupBy("c", "v").agg(F.count("*").alias("n"))
-    ranks = running(counts, "v", ["n"], ["c"]).select("c", "v", (F.col("n_run") - (F.col("n") - 1) / 2).alias("rank"))
-    return long.join(ranks, ["c", "v"]).groupBy("__row").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(c) for i, c in enumerate(cols)]).drop("__row")
+    counts = to_rank(base, cols, {}).where("c >= 0").groupBy("c", "v").agg(F.count("*").alias("n"))
+    ranks = written(running(counts, "v", ["n"], ["c"]).select("c", "v", "n", (F.col("n_run") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+    total = (ranks.agg(F.sum("n")).first()[0] or 0) / max(1, len(cols))
+    often: dict[int, dict[float, float]] = {}
+    for r in ranks.where(F.col("n") * 100 >= total).collect():
+        often.setdefault(r["c"], {})[r["v"]] = r["rank"]
+    long = to_rank(base, cols, often).join(ranks.select("c", "v", "rank"), ["c", "v"], "left")
+    rank = lambda i: F.max(F.when(F.col("c") == i, F.col("rank")).when(F.col("c") == -1, F.col("known")[i]))
+    return long.groupBy("__row").agg(*[rank(i).alias(c) for i, c in enumerate(cols)]).drop("__row")
 
 
 def corr_matrix(df: DataFrame, cols: list[str], how: str = "pearson") -> DataFrame:

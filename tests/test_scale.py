@@ -313,6 +313,17 @@ def test_ranks_take_one_join_for_all_columns(spark):
     assert plan(charts.average_ranks(df, ["a", "b", "c"])).count("Join") <= 2  # AQE shows the first plan and the one that runs
 
 
+def test_common_values_are_ranked_without_the_join(spark):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"a": rng.integers(0, 5, 1000).astype(float), "b": rng.normal(size=1000), "c": np.where(rng.random(1000) < 0.5, 0.0, rng.normal(size=1000))})
+    df = spark.createDataFrame(frame)
+    rows = charts.to_rank(df.withColumn("__row", F.monotonically_increasing_id()), list("abc"), {0: {float(x): 1.0 for x in range(5)}, 2: {0.0: 2.0}})
+    assert {r.c: r["count"] for r in rows.groupBy("c").count().collect()} == {-1: 1000, 1: 1000, 2: int((frame.c != 0).sum())}
+    got = {(r.a, r.b): r["corr"] for r in charts.corr_matrix(df, list("abc"), "spearman").collect()}
+    want = frame.rank().corr()
+    assert all(v == pytest.approx(want.loc[x, y]) for (x, y), v in got.items()) and len(got) == 3
+
+
 def test_sketches_keep_within_their_bounds(spark):
     df = spark.range(60_000).select((F.hash("id") % 100_003).cast("double").alias("v"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("int").alias("y")).withColumn("v", F.col("v") + 9000 * F.col("y"))
     exact, told = anomaly.auc(df, "y", "v").first(), anomaly.auc_sketched(df, "y", "v").first()
